@@ -39,7 +39,7 @@ SKETCH_SLACK = 0.18
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int, hasher: WordHasher):
     """The sorted set of shingle hashes of each text: fewer words make one shingle, none an empty set."""
-    for _, h, bounds in hasher.documents(raw, off):
+    for _, h, bounds, _, _ in hasher.documents(raw, off):
         with np.errstate(over="ignore"):
             whole = h * np.uint64(2 * words + 1) if len(h) else h
             rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)

@@ -53,11 +53,11 @@ class WordHasher:
             self.pow = np.cumprod(np.full(n, _P, np.uint64))
             self.inv = np.cumprod(np.full(n, pow(_P, -1, 1 << 64), np.uint64))
 
-    def _piece(self, buf: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and starts of the words of buf; no word goes over one of breaks (sorted positions)."""
+    def _piece(self, buf: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, starts and ends of the words of buf; no word goes over one of breaks (sorted positions)."""
         n = len(buf)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         pow_, inv = (self.pow, self.inv) if n <= len(self.pow) else WordHasher.long_powers(n)
         word = self.keep[buf]
         first = word.copy()
@@ -71,14 +71,14 @@ class WordHasher:
         with np.errstate(over="ignore"):
             sums = np.cumsum(self.table[buf] * pow_[:n])
             h = sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))
-            return mix(h * inv[starts]), starts
+            return mix(h * inv[starts]), starts, ends + 1
 
     @staticmethod
     def long_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         """Only for a single word of over PIECE bytes."""
         return np.cumprod(np.full(n, _P, np.uint64)), np.cumprod(np.full(n, pow(_P, -1, 1 << 64), np.uint64))
 
-    def _long(self, buf: np.ndarray) -> np.ndarray:
+    def _long(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out, at, n = [], 0, len(buf)
         while at < n:
             to = min(n, at + PIECE)
@@ -88,21 +88,25 @@ class WordHasher:
                     to = at + int(gap[-1]) + 1
                     break
                 to = min(n, to + PIECE)
-            out.append(self._piece(buf[at:to], np.zeros(0, np.int64))[0])
+            h, starts, ends = self._piece(buf[at:to], np.zeros(0, np.int64))
+            out.append((h, starts + at, ends + at))
             at = to
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
-    def documents(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, word hashes, n + 1 bounds into them) for runs of rows; memory doesn't grow with the batch."""
+    def documents(self, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of rows: first row, word hashes, n + 1 bounds into them, and the words' starts and ends in raw.
+
+        Memory doesn't grow with the batch.
+        """
         i, n = 0, len(off) - 1
         while i < n:
             j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
             j = min(j, n)
             if j == i + 1 and off[j] - off[i] > PIECE:
-                h = self._long(raw[off[i] : off[j]])
-                yield i, h, np.array([0, len(h)])
+                h, starts, ends = self._long(raw[off[i] : off[j]])
+                yield i, h, np.array([0, len(h)]), starts + off[i], ends + off[i]
             else:
                 rel = off[i : j + 1] - off[i]
-                h, starts = self._piece(raw[off[i] : off[j]], rel)
-                yield i, h, np.searchsorted(starts, rel)
+                h, starts, ends = self._piece(raw[off[i] : off[j]], rel)
+                yield i, h, np.searchsorted(starts, rel), starts + off[i], ends + off[i]
             i = j
