@@ -128,7 +128,7 @@ def _newer() -> str:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    every = "".join(map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x34000))))
+    every = "".join(map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))))
     asked = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
     known = {c for c, _ in Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(asked))}
     ranges: list[list[int]] = []
