@@ -91,8 +91,8 @@ g AS (SELECT doc_id, unnest(s) AS g FROM s),
 r AS (SELECT min(doc_id) AS rep, s FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
 same AS (SELECT d.doc_id AS a, r.rep AS b FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) d JOIN r USING (s)),
 rg AS (SELECT rep, unnest(s) AS g FROM r),
-both AS (SELECT x.rep AS a, y.rep AS b, count(*) AS k FROM rg x JOIN rg y ON x.g = y.g AND x.rep < y.rep GROUP BY 1, 2),
-e AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k) UNION SELECT a, b FROM same WHERE a <> b),
+co AS (SELECT x.rep AS a, y.rep AS b, count(*) AS k FROM rg x JOIN rg y ON x.g = y.g AND x.rep < y.rep GROUP BY 1, 2),
+e AS (SELECT a, b FROM co JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k) UNION SELECT a, b FROM same WHERE a <> b),
 d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, d.b FROM reach JOIN d ON reach.b = d.a)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
