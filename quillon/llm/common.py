@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which every executor sees.
-
-    Only where the setting is absent (tests, local mode) a folder of this
-    machine is used and remembered in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+from quillon.storage import shared_dir, written
 
+__all__ = ["LOWER", "UPPER", "shared_dir", "string_buffers", "without_rows", "written"]
 
-def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, lost executors don't matter."""
-    out = df.write.partitionBy(partition_by) if partition_by else df.write
-    out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ascii_lower(column: Column) -> Column:
-    """Lower-case A to Z only."""
-    return F.translate(column, UPPER, LOWER)
-
-
-def row_key(id_column: Column, text: Column) -> list[Column]:
-    """(__id, __xx): tells the rows of a table apart, but for repeated rows; cheap and without Python."""
-    return [id_column.alias("__id"), F.xxhash64(text).alias("__xx")]
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 
 
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
