@@ -173,7 +173,7 @@ _BUILT: dict[tuple, Matcher] = {}
 
 def _matcher(items, window: int) -> Matcher:
     """Built once in each Python worker; the newest few are held."""
-    key = (items.value and hashlib.sha256(repr(items.value).encode()).digest(), window)
+    key = (hashlib.sha256(repr(items.value).encode()).digest(), window)
     if key not in _BUILT:
         while len(_BUILT) >= 2:
             _BUILT.pop(next(iter(_BUILT)))

@@ -35,6 +35,8 @@ _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "d
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
 _DROP = frozenset("nav aside footer form script style noscript template button select textarea input iframe dialog svg math object canvas audio video map head title menu fieldset datalist xmp noembed noframes".split())
 _MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscri\w+|signup|share|sharing|social|related|recommend\w*|sidebar|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|replies|pagination|pager|skip|widget|toolbar|disclaimer)(?:$|[\s_-])", re.I)
+#: Layout words say what stands beside an element, not what it is.
+_LAYOUT = re.compile(r"\b(?:with|has|no|without)-[\w-]+", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 _ROOTS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 
@@ -130,7 +132,7 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
                 elif stack[i].tag in stop:
                     break
         a = _attributes(m[3])
-        names = f"{a.get('class', '')} {a.get('id', '')}"
+        names = _LAYOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
         drop = tag in _DROP or (tag not in ("html", "body", "main", "article") or (tag == "article" and "comment" in names.lower())) and bool(_MARKED.search(names) or a.get("role", "").lower() in _ROLES) or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
         root = 3 if tag == "article" else 2 if tag == "main" or a.get("role") == "main" else 1 if tag in ("div", "section", "td") and _ROOTS.search(names) else 0
         if tag not in _INLINE or drop:
