@@ -8,8 +8,10 @@ item of fewer words is one window.
 Runs of words that can't hold a window (a neighbouring pair that no item has)
 lead the automaton back to its start, so they are found with arrays and passed over.
 
-The items are dealt to automata of bounded size.  Each is broadcast, and
-documents stream through them one after the other, without a shuffle.
+The items are dealt to automata of bounded size, each of which is broadcast.
+Documents stream through one without a shuffle.  Where items need more of them,
+each has a job of its own, so that no task holds two; all but the first write
+down only documents with hits, and those are grouped by document.
 """
 
 from __future__ import annotations
@@ -172,19 +174,18 @@ _BUILT: dict[tuple, Matcher] = {}
 
 
 def _matcher(items, window: int) -> Matcher:
-    """Built once in each Python worker; the newest few are held."""
+    """Built once in each Python worker; only the newest is held."""
     key = (hashlib.sha256(repr(items.value).encode()).digest(), window)
     if key not in _BUILT:
-        while len(_BUILT) >= 2:
-            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT.clear()
         _BUILT[key] = Matcher(items.value, window)
     return _BUILT[key]
 
 
-def _spans(found: list) -> list[tuple[int, int]]:
-    """Merged [from, to) word ranges of windows."""
+def _spans(found) -> list[tuple[int, int]]:
+    """Merged [from, to) word ranges."""
     out: list[list[int]] = []
-    for a, b in sorted((e - m, e) for e, m, _ in found):
+    for a, b in sorted(found):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -196,44 +197,69 @@ _SCHEMA = "__id long, __xx long, n_words long, spans array<struct<from:long,to:l
 _SPAN = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
-def _scan(items, window: int, with_text: bool):
-    """Rows (__id, __xx, text, spans, places, items) -> with what this automaton finds added."""
+def _scan(items, window: int):
+    """Rows (__id, __xx, text) -> words, and what this automaton finds."""
 
     def run(batches):
         matcher = _matcher(items, window)
         for batch in batches:
             raw, off = string_buffers(batch.column(2))
-            before = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
             n, spans, places, names = [], [], [], []
-            for (old, _, had), (words, starts, ends, found), base in zip(before, matcher.documents(raw, off), off[:-1].tolist(), strict=True):
+            for (words, starts, ends, found), base in zip(matcher.documents(raw, off), off[:-1].tolist(), strict=True):
+                mine = _spans((e - m, e) for e, m, _ in found)
                 n.append(words)
-                if found or old:
-                    old = [(x["to"], x["to"] - x["from"], ()) for x in old or []]
-                    mine = _spans(found + old)
-                else:
-                    mine = []
                 spans.append([{"from": a, "to": b} for a, b in mine])
                 places.append([{"from": int(starts[a]) - base, "to": int(ends[b - 1]) - base} for a, b in mine])
-                names.append(sorted({x for _, _, of in found for x in of} | set(had or [])))
-            cols = [*batch.columns[:2], *([batch.column(2)] if with_text else [pa.array(n, pa.int64())]), pa.array(spans, _SPAN), pa.array(places, _SPAN), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["__id", "__xx", "__text" if with_text else "n_words", "spans", "places", "items"])
+                names.append(sorted({x for _, _, of in found for x in of}))
+            cols = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(places, _SPAN), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["__id", "__xx", "n_words", "spans", "places", "items"])
 
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, max_automaton_bytes: int = 16 << 20) -> DataFrame:
+def _merge_found(batches):
+    """(__id, __xx, spans, places, items), all automata's one after the other -> the same, merged."""
+    for batch in batches:
+        spans, places, names = [], [], []
+        for s, p, i in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            first = {x["from"]: y["from"] for x, y in zip(s, p, strict=True)}
+            last = {x["to"]: y["to"] for x, y in zip(s, p, strict=True)}
+            mine = _spans((x["from"], x["to"]) for x in s)
+            spans.append([{"from": a, "to": b} for a, b in mine])
+            places.append([{"from": first[a], "to": last[b]} for a, b in mine])
+            names.append(sorted(set(i)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, _SPAN), pa.array(places, _SPAN), pa.array(names, pa.list_(pa.string()))], ["h_id", "h_xx", "spans", "places", "items"])
+
+
+def _found_by_all(src: DataFrame, automata: list, window: int) -> DataFrame:
+    """What several automata find: a job for each, then one row per document again."""
+    path = shared_dir(src.sparkSession)
+    parts = []
+    for k, items in enumerate(automata):
+        part = src.mapInArrow(_scan(items, window), _SCHEMA)
+        parts.append(written(part if k == 0 else part.where("size(items) > 0"), f"{path}/found-{k}"))
+    every, found = parts[0].select("__id", "__xx", "n_words"), None
+    for part in parts:
+        # repeated rows of one id and text have equal hits
+        part = part.where("size(items) > 0").dropDuplicates(["__id", "__xx"])
+        found = part if found is None else found.unionByName(part)
+    # as many as a text has windows at most, for each automaton
+    lists = [F.flatten(F.collect_list(F.struct("spans", "places", "items"))[c]).alias(c) for c in ("spans", "places", "items")]
+    found = found.groupBy("__id", "__xx").agg(*lists).mapInArrow(_merge_found, _SCHEMA.replace("__", "h_").replace("n_words long, ", ""))
+    both = every.join(found, F.col("__id").eqNullSafe(F.col("h_id")) & F.col("__xx").eqNullSafe(F.col("h_xx")), "left")
+    return both.select("__id", "__xx", "n_words", *[F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "places", "items")])
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, max_automaton_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: __id, __xx, n_words, n_hit, spans (word ranges), places (UTF-8 byte ranges), items.
 
     Words are ASCII letters and digits (A-Z lower-cased) and all non-ASCII
     characters.  Null and empty texts have no words and no hits; null item ids
     count as the empty string.  ``items`` has the ids whose windows occur.
     """
-    empty = "array<struct<from:long,to:long>>"
-    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__xx"), F.col(f"`{text_col}`").alias("__text"), F.lit(None).cast(empty).alias("spans"), F.lit(None).cast(empty).alias("places"), F.lit(None).cast("array<string>").alias("items"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__xx"), F.col(f"`{text_col}`").alias("__text"))
     automata = _matchers(benchmark, item_col, item_text_col, window, max_automaton_bytes)
-    for items in automata[:-1]:
-        out = out.mapInArrow(_scan(items, window, True), _SCHEMA.replace("n_words long", "__text string"))
-    out = out.select("__id", "__xx", "__text", "spans", "places", "items").mapInArrow(_scan(automata[-1], window, False), _SCHEMA)
+    out = src.mapInArrow(_scan(automata[0], window), _SCHEMA) if len(automata) == 1 else _found_by_all(src, automata, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
     return out.select("__id", "__xx", "n_words", hit.alias("n_hit"), "spans", "places", "items")
 
