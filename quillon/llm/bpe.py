@@ -69,7 +69,7 @@ class WordBpe:
         #: the words of a run without white space
         self.words_of = regex.compile(pattern, regex.V1).findall
         #: results of fits, by a << 20 | b
-        self.fit = Memo(lambda k: self.fits(k >> 20, k & 0xFFFFF), 2_000_000)
+        self.fit = Memo(lambda k: self.fits(k >> 20, k & 0xFFFFF), 1_000_000)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging leaves token a followed by token b as they are.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.bpe import FINAL, NO_TOKEN, Memo, WordBpe, read_vocabulary, vocabulary
 
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 300_000
 
 
 class TokenAutomaton:
