@@ -10,9 +10,11 @@
    Hot buckets are contracted to stars before the shuffle.
 3. Pairs whose odd sketches differ by too many bits go.  What stays makes loose
    components, which hold each true component whole.
-4. Only members of loose components have their texts read again; their full
-   sets are compared within blocks of bounded size and every link is confirmed
-   exactly.  A document with a link to a group is not compared with that group again.
+4. Only members of loose components have their texts read again, and every link
+   is confirmed exactly on full sets.  A component is dealt into parts of bounded
+   size; some members of it, the pivots, go to each part and tie the parts together.
+   What the parts link makes groups.  If a component falls into several, all of them but
+   the largest are compared, block by block, with each other and with the largest.
 
 With 48 bands of 5 rows a pair at similarity 0.8 shares no band with
 probability (1 - 0.8^5)^48 = 5e-9; the sketch filter allows six deviations.
@@ -35,6 +37,8 @@ from quillon.llm.words import SPACED, WordHasher, mix
 SKETCH_BITS = 1024
 #: How far below the wanted similarity the sketches' estimate may lie.
 SKETCH_SLACK = 0.18
+#: Members of a component that go to each of its parts.
+PIVOTS = 4
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int, hasher: WordHasher):
@@ -234,32 +238,38 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _verify(words: int, percent: int):
-    """Rows sorted by tile -> (a, b, tiles): each document's edge to the first of its component within the tile."""
+    """Rows sorted by tile -> (a, b, parts): each document's edge to the first of its component within the tile."""
 
     def run(batches):
         hasher = WordHasher(SPACED)
-        tile, rows, sets, tiles = None, [], [], 1
+        tile, rows, sets, parts = None, [], [], 1
         for batch in batches:
             raw, off = string_buffers(batch.column(4))
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
             a, b = [], []
             t = []
-            for (comp, pair, nb, row), s in zip(keys, shingle_sets(raw, off, words, hasher), strict=True):
-                if (comp, pair) != tile:
+            for (comp, no, of, row), s in zip(keys, shingle_sets(raw, off, words, hasher), strict=True):
+                if (comp, no) != tile:
                     for r, x in zip(rows, link_groups(sets, percent), strict=True):
-                        a.append(r), b.append(rows[x]), t.append(tiles)
-                    tile, rows, sets, tiles = (comp, pair), [], [], nb
+                        a.append(r), b.append(rows[x]), t.append(parts)
+                    tile, rows, sets, parts = (comp, no), [], [], of
                 rows.append(row), sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(t, pa.int64())], ["a", "b", "tiles"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(t, pa.int64())], ["a", "b", "parts"])
         g = link_groups(sets, percent)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([rows[x] for x in g], pa.int64()), pa.array([tiles] * len(rows), pa.int64())], ["a", "b", "tiles"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([rows[x] for x in g], pa.int64()), pa.array([parts] * len(rows), pa.int64())], ["a", "b", "parts"])
 
     return run
 
 
+def _blocks(rows, shingles, most_rows: int, most_shingles: int):
+    """How many blocks hold that many rows and shingles; 1 at least."""
+    return F.greatest(F.ceil(rows / most_rows), F.ceil(shingles / most_shingles), F.lit(1)).cast("long")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bands: int = 48, rows: int = 5, small_bucket: int = 8, block_rows: int = 8192, block_shingles: int = 4_000_000,
+    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 256, part_shingles: int = 1_000_000,
+    block_rows: int = 4096, block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """One row per document: __id, __xx, n_shingles, component_id, kept.
 
@@ -268,7 +278,9 @@ def near_duplicates(
     sets and no links.  component_id is the smallest id reached over links,
     kept tells whether that is the row's own id; repeated rows of one id are
     kept together, rows whose component has no id but null are kept.
-    ``percent`` is the similarity in hundredths.
+    ``percent`` is the similarity in hundredths.  A part of a component has about
+    ``part_rows`` members or ``part_shingles`` shingles, a block of what the parts
+    leave apart ``block_rows`` or ``block_shingles``; none of them changes the result.
     """
     spark = docs.sparkSession
     path = shared_dir(spark)
@@ -295,16 +307,42 @@ def near_duplicates(
     member = loose.select(F.col("node").alias("m_row"), F.col("root").alias("comp"))
     member = written(member.unionByName(loose.select(F.col("root").alias("m_row"), F.col("root").alias("comp")).distinct()), f"{path}/members")
     info = member.join(reps.select("__row", "__id", "__xx", "n"), F.col("m_row") == F.col("__row"))
-    blocks = info.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("long").alias("nb")).select((F.col("comp") + F.lit(0)).alias("c"), "nb")
-    info = info.join(blocks, F.col("comp") == F.col("c")).select("__row", "__id", "__xx", "comp", "nb", F.pmod(F.xxhash64("__row"), "nb").alias("blk"))
     text = src.select(F.col("__id").alias("t_id"), F.col("__xx").alias("t_xx"), "__text")
-    texts = info.join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
-    tiles = texts.withColumn("other", F.explode(F.expr("sequence(0L, nb - 1)"))).select(
-        "comp", (F.least("blk", "other") * F.col("nb") + F.greatest("blk", "other")).alias("pair"), "nb", "__row", "__text")
-    tiles = tiles.repartition("comp", "pair").sortWithinPartitions("comp", "pair", "__row")
-    links = written(tiles.mapInArrow(_verify(words, percent), "a long, b long, tiles long").where("a <> b"), f"{path}/links")
-    split = connected_components(links.where("tiles > 1").select("a", "b"), path)
-    root = links.where("tiles = 1").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct().unionByName(split)
+
+    def links_of(dealt: DataFrame, name: str) -> DataFrame:
+        """Edges within each (comp, tile) of ``dealt`` (__row, __id, __xx, comp, parts, tiles), on full sets."""
+        texts = dealt.join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
+        tiles = texts.select("comp", F.explode("tiles").alias("tile"), "parts", "__row", "__text")
+        tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "__row")
+        return written(tiles.mapInArrow(_verify(words, percent), "a long, b long, parts long").where("a <> b"), f"{path}/{name}")
+
+    parts = _blocks(F.count("*"), F.sum("n"), part_rows, part_shingles)
+    pivots = F.array(*(F.min_by("__row", F.xxhash64("__row", F.lit(k))) for k in range(PIVOTS)))
+    dealt = info.groupBy("comp").agg(parts.alias("parts"), pivots.alias("pivots")).withColumnRenamed("comp", "c")
+    info = info.join(dealt, F.col("comp") == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", F.array_contains("pivots", F.col("__row")).alias("pivot"))
+    info = written(info, f"{path}/parts")
+    one_part = F.array(F.pmod(F.xxhash64("__row"), F.col("parts")))
+    links = links_of(info.withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(one_part)), "links")
+    split = connected_components(links.where("parts > 1").select("a", "b"), path)
+
+    label = info.where("parts > 1").join(split, F.col("__row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "__row"))
+    label = written(label.select("__row", "__id", "__xx", "n", "comp", "parts", "label"), f"{path}/labels")
+    sizes = label.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp")
+    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").withColumnRenamed("comp", "c")
+    apart = label.join(sizes, F.col("comp") == F.col("c")).withColumn("rest", F.col("label") != F.col("largest"))
+    apart = written(apart.select("__row", "__id", "__xx", "n", "comp", "parts", "rest"), f"{path}/apart")
+    if not apart.isEmpty():
+        rest, large = F.col("rest"), ~F.col("rest")
+        nr, nl = (_blocks(F.count_if(x), F.sum(F.when(x, F.col("n")).otherwise(0)), block_rows, block_shingles) for x in (rest, large))
+        blocks = apart.groupBy("comp").agg(nr.alias("nr"), nl.alias("nl")).withColumnRenamed("comp", "c")
+        apart = apart.join(blocks, F.col("comp") == F.col("c")).withColumn("blk", F.pmod(F.xxhash64("__row"), F.when(rest, F.col("nr")).otherwise(F.col("nl"))))
+        # tile (i, j): block i of the rest with block j of the rest, or with block j - nr of the largest group
+        own = "transform(sequence(0L, nr - 1), o -> least(blk, o) * (nr + nl) + greatest(blk, o))"
+        others = "transform(sequence(0L, nl - 1), j -> blk * (nr + nl) + nr + j)"
+        large_in = "transform(sequence(0L, nr - 1), i -> i * (nr + nl) + nr + blk)"
+        more = links_of(apart.withColumn("tiles", F.expr(f"if(rest, concat({own}, {others}), {large_in})")), "more_links")
+        split = connected_components(more.select("a", "b").unionByName(split.select(F.col("node").alias("a"), F.col("root").alias("b"))), path)
+    root = links.where("parts = 1").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct().unionByName(split)
 
     copies = reps.where("copies > 1").select(F.col("key").alias("k"), F.col("__row").alias("rep"))
     all_ = sig.select("__id", "__xx", "__row", "n", "key").join(copies, F.col("key") == F.col("k"), "left").withColumn("rep", F.coalesce("rep", "__row"))

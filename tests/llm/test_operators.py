@@ -68,18 +68,27 @@ def groups(docs, n, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("small", "block"), [(8, 8192), (2, 7)])
-def test_minhash_by_brute_force(spark, small, block):
+@pytest.mark.parametrize(("small", "part", "block"), [(8, 256, 4096), (2, 7, 7), (8, 3, 5), (8, 1, 1)])
+def test_minhash_by_brute_force(spark, small, part, block):
     """Near copies at all similarities, with hot buckets and groups over several tiles."""
     r = random.Random(5)
     base = [f"w{r.randrange(500)}" for _ in range(60)]
     docs = [(i, " ".join(w if r.random() > r.choice([0.0, 0.02, 0.05, 0.1]) else f"v{r.randrange(900)}" for w in base)) for i in range(70)]
     docs += [(100 + i, " ".join(f"u{r.randrange(400)}" for _ in range(r.randrange(1, 30)))) for i in range(60)] + [(200 + i, docs[i][1]) for i in range(20)]
-    got = minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), words=2, small_bucket=small, block_rows=block).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), words=2, small_bucket=small, part_rows=part, block_rows=block).collect()
     assert {g["__id"]: g.component_id for g in got} == groups(docs, 2, 80)
     assert all(g.kept == (g["__id"] == g.component_id) for g in got)
 
 
+def test_minhash_chain_over_parts(spark):
+    """Each text is near its neighbours alone, so parts leave many groups; a second chain is loosely tied but apart."""
+    docs = [(i, " ".join(f"w{k}" for k in range(i * 4, i * 4 + 50))) for i in range(40)]
+    docs += [(100 + i, " ".join(f"x{k}" for k in range(i * 12, i * 12 + 50))) for i in range(12)]
+    want = groups(docs, 2, 80)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), words=2, part_rows=4, block_rows=6).collect()
+    assert {g["__id"]: g.component_id for g in got} == want and len(set(want.values())) > 1
+
+
 def test_minhash_edges(spark, edges, empty):
     got = {(r["__id"], r.n_shingles): r for r in minhash.near_duplicates(edges, words=2).collect()}
     assert got[2, 0].component_id == 2 and got[3, 0].kept and got[4, 0].component_id == 4
