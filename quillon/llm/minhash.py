@@ -311,7 +311,8 @@ def near_duplicates(
 
     def links_of(dealt: DataFrame, name: str) -> DataFrame:
         """Edges within each (comp, tile) of ``dealt`` (__row, __id, __xx, comp, parts, tiles), on full sets."""
-        texts = dealt.join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
+        # one plan at all sizes: members grow with the documents, so that they are not to be broadcast
+        texts = dealt.join(text.hint("merge"), F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
         tiles = texts.select("comp", F.explode("tiles").alias("tile"), "parts", "__row", "__text")
         tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "__row")
         return written(tiles.mapInArrow(_verify(words, percent), "a long, b long, parts long").where("a <> b"), f"{path}/{name}")
