@@ -311,8 +311,7 @@ def near_duplicates(
 
     def links_of(dealt: DataFrame, name: str) -> DataFrame:
         """Edges within each (comp, tile) of ``dealt`` (__row, __id, __xx, comp, parts, tiles), on full sets."""
-        # one plan at all sizes: members grow with the documents, so that they are not to be broadcast
-        texts = dealt.join(text.hint("merge"), F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
+        texts = dealt.join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
         tiles = texts.select("comp", F.explode("tiles").alias("tile"), "parts", "__row", "__text")
         tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "__row")
         return written(tiles.mapInArrow(_verify(words, percent), "a long, b long, parts long").where("a <> b"), f"{path}/{name}")
@@ -323,7 +322,8 @@ def near_duplicates(
     info = info.join(dealt, F.col("comp") == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", F.array_contains("pivots", F.col("__row")).alias("pivot"))
     info = written(info, f"{path}/parts")
     one_part = F.array(F.pmod(F.xxhash64("__row"), F.col("parts")))
-    links = links_of(info.withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(one_part)), "links")
+    # members grow with the documents and are not to be broadcast; what is apart is few rows, where Spark's size check decides
+    links = links_of(info.hint("merge").withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(one_part)), "links")
     split = connected_components(links.where("parts > 1").select("a", "b"), path)
 
     label = info.where("parts > 1").join(split, F.col("__row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "__row"))
