@@ -191,6 +191,23 @@ def test_repeats(spark, edges, empty):
     assert repeats.without_repeats(empty).count() == 0
 
 
+def test_all_repeats_by_brute_force(spark):
+    """Short lines and lines without blanks go as well; the first in id order stays."""
+    got = {r.doc_id: r for r in queries.QUERIES["op7_all_repeats"](spark, SF).collect()}
+    seen, gone = set(), 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        kept = []
+        for unit in r.text.split("\n"):
+            key = " ".join(re.findall(r"[^\x20\x09-\x0D]+", unit.translate(FOLD)))
+            if key and key in seen:
+                gone += 1
+                continue
+            seen.add(key)
+            kept.append(unit)
+        assert got[r.doc_id].text == "\n".join(kept) and got[r.doc_id].n_removed == r.text.count("\n") + 1 - len(kept)
+    assert gone > sum(r.n_removed for r in queries.QUERIES["op7_repeats"](spark, SF).collect())
+
+
 def test_language(spark, edges, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
