@@ -27,6 +27,7 @@ _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<(/?)([a-zA
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption tr tbody thead tfoot table".split()) | _INLINE
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -88,17 +89,8 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             flush()
         del stack[to:]
 
-    at, raw_until = 0, None
-    for m in _TOKEN.finditer(html):
-        if raw_until is not None:  # inside script, style, ...: only its own end tag counts
-            if not (m[1] and m[2].lower() == raw_until):
-                continue
-            raw_until = None
-            if not stack[-1].drop:
-                add(html[at : m.start()])
-            at = m.end()
-            close(len(stack) - 1)
-            continue
+    at = 0
+    while (m := _TOKEN.search(html, at)) is not None:
         add(html[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -142,10 +134,13 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         node = _Node(tag, stack[-1], f"{tag} {names}", drop, root)
         nodes.append(node)
         stack.append(node)
-        if tag in _RAW and not m[3].endswith("/"):
-            raw_until = tag
-    if raw_until is None:
-        add(html[at:])
+        if tag in _RAW and not m[3].endswith("/"):  # inside script, style, ...: only its own end tag counts
+            end = _RAW_END[tag].search(html, at)
+            if not drop:
+                add(html[at : end.start() if end else len(html)])
+            at = end.end() if end else len(html)
+            close(len(stack) - 1)
+    add(html[at:])
     close(1)
     flush()
     return nodes, blocks

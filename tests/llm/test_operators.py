@@ -319,6 +319,14 @@ def test_page(html, want):
     assert "\n".join(t for t, _ in html_text.read_page(html or "")[0]) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<script>for(i=0;i<n;i++){x()}</script><p>Text</p>", "Text"), ("<p>a</p><SCRIPT>if(a<b)'</p>'</script ><p>b", "a\nb"),
+    ("<style>a<b</styled></STYLE\n><p>c", "c"), ("<p>d<script>x<y</p>", "d"), ("<title>a<b</title>e", "e"),
+])
+def test_scripts_end_at_their_own_tag(html, want):
+    assert "\n".join(t for t, _ in html_text.read_page(html)[0]) == want
+
+
 def test_templates_go(spark):
     """A block that no mark tells from text goes where it recurs; text that recurs in an article stays."""
     pages = [(i, f"http://h.example/{i}", f"<body><div>buy our things</div><p>text {i}</p></body>") for i in range(8)]
