@@ -6,9 +6,10 @@ pages of different main text, so copies of a page don't make its text a
 template.  Paragraph-like elements inside an article never count as template.
 What recurs on enough of a host's pages is deleted from the blocks.
 
-Hosts with few pages can't show what recurs, so elements that HTML names as
-something else than the article (nav, footer, form, ...) or that are marked so
-by class, id or role go as well.
+Elements that HTML names as something else than the article (nav, footer,
+form, ...) always go.  Hosts with few pages can't show what recurs, so there
+elements that are marked so by class, id or role go as well, but none that
+holds the article.
 """
 
 from __future__ import annotations
@@ -39,17 +40,22 @@ _MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*
 #: Layout words say what stands beside an element, not what it is.
 _LAYOUT = re.compile(r"\b(?:with|has|no|without)-[\w-]+", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+#: A header of these kinds in the article is its own.
+_HEADER = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
+#: Stands among the subtrees around a block that a mark tells from the main text.
+MARKED = 0
+_ROOT_WORDS = frozenset("article post entry story content main".split())
 _ROOTS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "drop", "label", "parts", "keep", "hash", "root", "size")
+    __slots__ = ("tag", "parent", "drop", "mark", "label", "parts", "keep", "hash", "root", "size", "full")
 
-    def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, root: int):
-        self.tag, self.parent, self.label, self.drop, self.root = tag, parent, label, drop, root
+    def __init__(self, tag: str, parent: _Node | None, label: str, drop: bool, mark: int, root: int):
+        self.tag, self.parent, self.label, self.drop, self.mark, self.root = tag, parent, label, drop, mark, root
         self.parts: list = []  # hashes of children and texts, in order
         self.keep = False
-        self.hash, self.size = 0, 0
+        self.hash, self.size, self.full = 0, 0, 0  # size: text without marked elements; full: with them
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -58,7 +64,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     """(nodes in page order, blocks of text with the element in which each began)."""
-    top = _Node("#root", None, "", False, 0)
+    top = _Node("#root", None, "", False, 0, 0)
     nodes, stack, blocks = [top], [top], []
     text: list[str] = []
     owner = top
@@ -80,12 +86,12 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             if raw.isspace():
                 return
             owner = stack[-1]
-            while owner.tag in _INLINE and not owner.drop and owner.parent is not None:
+            while owner.tag in _INLINE and not owner.drop and not owner.mark and owner.parent is not None:
                 owner = owner.parent
         text.append(raw)
 
     def close(to: int) -> None:
-        if any(x.tag not in _INLINE or x.drop for x in stack[to:]):
+        if any(x.tag not in _INLINE or x.drop or x.mark for x in stack[to:]):
             flush()
         del stack[to:]
 
@@ -125,13 +131,16 @@ def parse(html: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
                     break
         a = _attributes(m[3])
         names = _LAYOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
-        drop = tag in _DROP or (tag not in ("html", "body", "main", "article") or (tag == "article" and "comment" in names.lower())) and bool(_MARKED.search(names) or a.get("role", "").lower() in _ROLES) or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
+        drop = tag in _DROP or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")) is not None
+        mark = 0  # 1: by the words for a header only
+        if tag not in ("html", "body", "main", "article") or (tag == "article" and "comment" in names.lower()):
+            mark = 2 if a.get("role", "").lower() in _ROLES or _MARKED.search(_HEADER.sub("", names)) else 1 if _MARKED.search(names) else 0
         root = 3 if tag == "article" else 2 if tag == "main" or a.get("role") == "main" else 1 if tag in ("div", "section", "td") and _ROOTS.search(names) else 0
-        if tag not in _INLINE or drop:
+        if tag not in _INLINE or drop or mark:
             flush()
         if tag in _VOID:
             continue
-        node = _Node(tag, stack[-1], f"{tag} {names}", drop, root)
+        node = _Node(tag, stack[-1], f"{tag} {names}", drop, mark, root)
         nodes.append(node)
         stack.append(node)
         if tag in _RAW and not m[3].endswith("/"):  # inside script, style, ...: only its own end tag counts
@@ -150,20 +159,40 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """(main blocks with the hashes of deletable subtrees around them, all deletable subtrees' hashes, main text's hash)."""
-    nodes, blocks = parse(html)
+def _root(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> _Node:
+    """The element that holds the main text, or the first node; marks on it and around it go."""
+    under: set[_Node] = set()
     for n in nodes[1:]:
         n.drop |= n.parent.drop
+        if n.mark or n.parent in under:
+            under.add(n)
     for owner, text in blocks:
         if not owner.drop:
-            while owner is not None:
-                owner.size += len(text)
-                owner = owner.parent
-    roots = [n for n in nodes if n.root and not n.drop and n.size]
+            plain, at = owner not in under, owner
+            while at is not None:
+                at.full += len(text)
+                at.size += len(text) if plain else 0
+                at = at.parent
+    roots = [n for n in nodes if n.root and not n.drop and n.size and n not in under]
     root = max(roots, key=lambda n: (n.root, n.size), default=nodes[0])
     if root.root == 3 and root.size < 0.5 * nodes[0].size:  # many articles, none of them the page's
         root = next((n for n in roots if n.root == 2), root)
+    if root.root < 2:  # a marked element is around the article if that has most of the page's text; else it lists others
+        held = [n for n in under if not n.drop and n.full and n.full >= nodes[0].size and (n.root > 1 and not n.mark or n.root == 1 and not roots and not _ROOT_WORDS.isdisjoint(n.label.lower().split()[1:]))]
+        root = max(held, key=lambda n: (n.root, n.full), default=root)
+        if root.root == 3 and root.full < 0.5 * nodes[0].full:
+            root = next((n for n in held if n.root == 2), root)
+    at = root
+    while at is not None:
+        at.mark = 0
+        at = at.parent
+    return root
+
+
+def _parts(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
+    """As ``read_page``, with the blocks in marked elements; these have ``MARKED`` among the subtrees around them."""
+    nodes, blocks = parse(html)
+    root = _root(nodes, blocks)
     at = root
     while at is not None:  # what the article is in is no template
         at.keep = at is not root
@@ -172,6 +201,12 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     for n in nodes[1:]:
         if n.parent in inside:
             inside.add(n)
+            if n.mark == 1:
+                n.mark = 0
+            if n.tag == "h1":  # the title's element is none of those that marks tell from the text
+                at = n
+                while at is not root:
+                    at.mark, at = 0, at.parent
     # page order puts children after their parent
     for n in reversed(nodes):
         if n.parts:
@@ -188,9 +223,21 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
         while n is not None:
             if n in known:
                 around.append(n.hash)
+            if n.mark:
+                around.append(MARKED)
             n = n.parent
         found.append((text, around))
-    return found, list(dict.fromkeys(n.hash for n in deletable)), _hash("\n".join(t for t, _ in found))
+    own = [t for t, a in found if MARKED not in a] or [t for t, _ in found]
+    return found, list(dict.fromkeys(n.hash for n in deletable)), _hash("\n".join(own))
+
+
+def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
+    """(main blocks with the hashes of deletable subtrees around them, all deletable subtrees' hashes, main text's hash).
+
+    Marks decide, as for a page of which the host has no others.
+    """
+    found, subtrees, sign = _parts(html)
+    return [(t, a) for t, a in found if MARKED not in a], subtrees, sign
 
 
 _BLOCK = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
@@ -200,7 +247,7 @@ def _parse_udf(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            read = [read_page(h or "") for h in part.column(3).to_pylist()]
+            read = [_parts(h or "") for h in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:3], pa.array([[{"text": t, "around": a} for t, a in blocks] for blocks, _, _ in read], _BLOCK), pa.array([s for _, s, _ in read], pa.list_(pa.int64())), pa.array([x for _, _, x in read], pa.int64())],
                 ["__row", "__id", "__url", "blocks", "subtrees", "sign"],
@@ -208,10 +255,11 @@ def _parse_udf(batches):
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, min_share: float = 0.1) -> DataFrame:
-    """One row per page: __id, __url, text, n_chars, n_deleted (blocks that were template).
+    """One row per page: __id, __url, text, n_chars, n_deleted (blocks that were template or marked).
 
     A subtree is template if it is on at least ``min_pages`` pages of its host
-    with different main texts, and on ``min_share`` of all such pages.  Null
+    with different main texts, and on ``min_share`` of all such pages.  What is
+    marked goes on hosts with fewer than ``min_pages`` of them.  Null
     html counts as empty; a page without main text has the empty string; a null
     or odd url puts the page in a host of its own kind.  White space in a block
     is one blank, blocks are joined by a line break.
@@ -227,6 +275,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     seen = parsed.select("host", "sign", F.explode("subtrees").alias("h")).groupBy("host", "h", "sign").agg(F.lit(1).alias("one"))
     counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     template = counts.join(texts, "host").where(F.col("n") >= min_share * F.col("texts")).select(F.col("host").alias("t_host"), F.col("h").alias("t_h"))
+    template = template.union(texts.where(F.col("texts") < min_pages).select("host", F.lit(MARKED).cast("long")))
     template = written(template, f"{path}/template")
 
     asked = parsed.where(F.exists("blocks", lambda b: F.size(b["around"]) > 0))

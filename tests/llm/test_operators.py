@@ -327,6 +327,23 @@ def test_scripts_end_at_their_own_tag(html, want):
     assert "\n".join(t for t, _ in html_text.read_page(html)[0]) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><div class='container sidebar-right'><article><p>a</article><div>b</div></div>", "a"), ("<div id='page' class='header-fixed'><main><p>a</main></div><p>b", "a"),
+    ("<div class='post share-enabled'><article><p>a</article></div>", "a"), ("<div class='post share-enabled'><p>a</div>", "a"),
+    ("<article><div class='article-header'><h1>T</h1><p>lede</div><p>a<div class=share><p>s</div></article>", "T\nlede\na"), ("<article><div class=banner><h1>T</h1></div><p>a</article>", "T\na"),
+    ("<div class=content><p>long text of the page</div><div class=related><article><p>other</article></div>", "long text of the page"), ("<div class=main-menu><p>links links</div><p>a", "a"),
+])
+def test_marks_around_the_article(html, want):
+    assert "\n".join(t for t, _ in html_text.read_page(html)[0]) == want
+
+
+def test_marks_decide_where_counts_cannot(spark):
+    pages = [(i, f"http://many.example/{i}", f"<p>text {i}</p><div class=alert>own {i}</div><div class=menu>same</div>") for i in range(8)]
+    pages += [(20 + i, "http://few.example/", f"<p>text {i}</p><div class=alert>own {i}</div>") for i in range(3)]
+    got = {r["__id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "text 3\nown 3" and got[21] == "text 1"
+
+
 def test_templates_go(spark):
     """A block that no mark tells from text goes where it recurs; text that recurs in an article stays."""
     pages = [(i, f"http://h.example/{i}", f"<body><div>buy our things</div><p>text {i}</p></body>") for i in range(8)]
