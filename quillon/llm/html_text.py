@@ -3,7 +3,8 @@
 One pass parses each page into text blocks; every block carries the hashes of
 the element subtrees around it.  Hashes are counted per host in Spark, over
 pages of different main text, so copies of a page don't make its text a
-template.  Paragraph-like elements inside an article never count as template.
+template.  Paragraph-like elements inside an article are template only if they
+stand on half of the host's pages, a share that falls for large hosts.
 What recurs on enough of a host's pages is deleted from the blocks.
 
 Elements that HTML names as something else than the article (nav, footer,
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _RAW_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption tr tbody thead tfoot table".split()) | _INLINE
+#: In the article these go on more evidence only, and those never but with what they are in.
+_PARAGRAPH = frozenset("p h2 h3 h4 h5 h6 li dt dd pre blockquote caption figcaption table".split())
+_BOUND = frozenset("h1 td th tr tbody thead tfoot".split()) | _INLINE
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: what a start tag closes, and what keeps it from looking further up
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "body": ("head", "html")}
@@ -189,8 +193,28 @@ def _root(nodes: list[_Node], blocks: list[tuple[_Node, str]]) -> _Node:
     return root
 
 
-def _parts(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-    """As ``read_page``, with the blocks in marked elements; these have ``MARKED`` among the subtrees around them."""
+def _longest_elsewhere(found: list[tuple[str, list[int]]], spans: dict[_Node, list[int]]) -> dict[_Node, int]:
+    """By element the hash of the longest main block that isn't in it; marked blocks come last."""
+    rank = lambda x: (MARKED not in x[1], len(x[0]))
+    none = ("", [MARKED])
+    before, after = list(accumulate(found, lambda x, y: max(x, y, key=rank), initial=none)), list(accumulate(reversed(found), lambda x, y: max(x, y, key=rank), initial=none))
+    known: dict[str, int] = {}
+    out = {}
+    for n, (first, last) in spans.items():
+        text = max(before[first], after[len(found) - 1 - last], key=rank)[0]
+        if text not in known:
+            known[text] = _hash(text)
+        out[n] = known[text]
+    return out
+
+
+def _parts(html: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int, bool]], int]:
+    """Blocks and sign as of ``read_page``, with the blocks in marked elements; these have ``MARKED`` among the subtrees around them.
+
+    A subtree is (hash, by what the pages with it must differ, whether it is a
+    paragraph of the article).  The latter must stand beside different longest
+    blocks: near copies of an article, that differ in a date, share theirs.
+    """
     nodes, blocks = parse(html)
     root = _root(nodes, blocks)
     at = root
@@ -213,8 +237,12 @@ def _parts(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
             n.hash = _hash("\0".join([n.label, *map(str, n.parts)]))
             if n.parent is not None:
                 n.parent.parts.append(n.hash)
-    deletable = [n for n in nodes[1:] if n.parts and not n.keep and n is not root and n.tag not in ("html", "body") and not (n in inside and n.tag in _PARAGRAPH)]
+    deletable = [n for n in nodes[1:] if n.parts and not n.keep and n is not root and n.tag not in ("html", "body") and not (n in inside and n.tag in _BOUND)]
+    for n in deletable:
+        if n in inside and n.tag in _PARAGRAPH:
+            n.hash = ~n.hash  # the same elsewhere is no evidence
     known = set(deletable)
+    spans: dict[_Node, list[int]] = {}  # of the article's paragraphs: first and last block
     found = []
     for owner, text in blocks:
         if owner.drop or (root.root and owner not in inside):
@@ -223,12 +251,17 @@ def _parts(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
         while n is not None:
             if n in known:
                 around.append(n.hash)
+                if n in inside and n.tag in _PARAGRAPH:
+                    spans.setdefault(n, [len(found), 0])[1] = len(found)
             if n.mark:
                 around.append(MARKED)
             n = n.parent
         found.append((text, around))
     own = [t for t, a in found if MARKED not in a] or [t for t, _ in found]
-    return found, list(dict.fromkeys(n.hash for n in deletable)), _hash("\n".join(own))
+    sign, beside = _hash("\n".join(own)), _longest_elsewhere(found, spans)
+    paragraphs = dict.fromkeys((n.hash, beside[n], True) for n in spans)
+    others = dict.fromkeys((n.hash, sign, False) for n in deletable if not (n in inside and n.tag in _PARAGRAPH))
+    return found, [*others, *paragraphs], sign
 
 
 def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
@@ -237,9 +270,10 @@ def read_page(html: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
     Marks decide, as for a page of which the host has no others.
     """
     found, subtrees, sign = _parts(html)
-    return [(t, a) for t, a in found if MARKED not in a], subtrees, sign
+    return [(t, a) for t, a in found if MARKED not in a], list(dict.fromkeys(h for h, _, _ in subtrees)), sign
 
 
+_SUBTREE = pa.list_(pa.struct([("h", pa.int64()), ("sign", pa.int64()), ("own", pa.bool_())]))
 _BLOCK = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
 
 
@@ -249,17 +283,19 @@ def _parse_udf(batches):
             part = batch.slice(at, 500)
             read = [_parts(h or "") for h in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], pa.array([[{"text": t, "around": a} for t, a in blocks] for blocks, _, _ in read], _BLOCK), pa.array([s for _, s, _ in read], pa.list_(pa.int64())), pa.array([x for _, _, x in read], pa.int64())],
+                [*part.columns[:3], pa.array([[{"text": t, "around": a} for t, a in blocks] for blocks, _, _ in read], _BLOCK), pa.array([[{"h": h, "sign": x, "own": o} for h, x, o in s] for _, s, _ in read], _SUBTREE), pa.array([x for _, _, x in read], pa.int64())],
                 ["__row", "__id", "__url", "blocks", "subtrees", "sign"],
             )
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, min_share: float = 0.1) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, min_share: float = 0.1, own_share: float = 0.5) -> DataFrame:
     """One row per page: __id, __url, text, n_chars, n_deleted (blocks that were template or marked).
 
     A subtree is template if it is on at least ``min_pages`` pages of its host
-    with different main texts, and on ``min_share`` of all such pages.  What is
-    marked goes on hosts with fewer than ``min_pages`` of them.  Null
+    with different main texts, and on ``min_share`` of all such pages.  A
+    paragraph, list item or table of the article must be on ``own_share`` of
+    them, or four times the root of their number on hosts with more, beside
+    different text.  What is marked goes on hosts with fewer than ``min_pages`` of them.  Null
     html counts as empty; a page without main text has the empty string; a null
     or odd url puts the page in a host of its own kind.  White space in a block
     is one blank, blocks are joined by a line break.
@@ -267,14 +303,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     path = shared_dir(pages.sparkSession)
     src = pages.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{url_col}`").alias("__url"), F.col(f"`{html_col}`").alias("__html"))
     block = "array<struct<text:string,around:array<long>>>"
-    parsed = src.mapInArrow(_parse_udf, f"__row long, __id long, __url string, blocks {block}, subtrees array<long>, sign long")
+    parsed = src.mapInArrow(_parse_udf, f"__row long, __id long, __url string, blocks {block}, subtrees array<struct<h:long,sign:long,own:boolean>>, sign long")
     host = F.lower(F.regexp_extract(F.coalesce("__url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     parsed = written(parsed.withColumn("host", host), f"{path}/parsed")
 
     texts = parsed.groupBy("host").agg(F.approx_count_distinct("sign", 0.02).alias("texts"))
-    seen = parsed.select("host", "sign", F.explode("subtrees").alias("h")).groupBy("host", "h", "sign").agg(F.lit(1).alias("one"))
-    counts = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = counts.join(texts, "host").where(F.col("n") >= min_share * F.col("texts")).select(F.col("host").alias("t_host"), F.col("h").alias("t_h"))
+    seen = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.*").distinct()
+    counts = seen.groupBy("host", "h", "own").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    enough = F.when(F.col("own"), F.least(own_share * F.col("texts"), 4 * F.sqrt("texts"))).otherwise(min_share * F.col("texts"))
+    template = counts.join(texts, "host").where(F.col("n") >= enough).select(F.col("host").alias("t_host"), F.col("h").alias("t_h"))
     template = template.union(texts.where(F.col("texts") < min_pages).select("host", F.lit(MARKED).cast("long")))
     template = written(template, f"{path}/template")
 

@@ -358,6 +358,19 @@ def test_templates_go(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_recurring_paragraphs_of_articles_go(spark):
+    """Near copies of one article don't make its paragraphs template, nor does the same text outside of articles."""
+    page = "<article><h1>T</h1><p>own words of page {0}, with some more of them</p><table><tr><td>see</table><ul><li>li {0}<li>Join us</ul><p>Read <b>more</b></p></article>"
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(20)]
+    near = "<article><p>The longest paragraph of the article</p><p>and another one</p><p>dated {0}</p></article>"
+    pages += [(100 + i, "http://near.example/", near.format(i)) for i in range(12)]
+    pages += [(200 + i, "http://list.example/", f"<p>teaser of it</p><div>x {i}</div>") for i in range(9)] + [(220, "http://list.example/", "<article><p>teaser of it</p><p>all</p></article>")]
+    got = {r["__id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[7] == "T\nown words of page 7, with some more of them\nli 7"
+    assert got[105] == "The longest paragraph of the article\nand another one\ndated 5"
+    assert got[203] == "x 3" and got[220] == "teaser of it\nall"
+
+
 def test_pages_by_brute_force(spark):
     from html import unescape
 
