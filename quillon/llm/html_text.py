@@ -292,7 +292,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: __id, __url, text, n_chars, n_deleted (blocks that were template or marked).
 
     A subtree is template if it is on at least ``min_pages`` pages of its host
-    with different main texts, and on ``min_share`` of all such pages.  A
+    with different main texts, and on ``min_share`` of all such pages, or
+    the root of their number on hosts with more than the two agree on.  A
     paragraph, list item or table of the article must be on ``own_share`` of
     them, or four times the root of their number on hosts with more, beside
     different text.  What is marked goes on hosts with fewer than ``min_pages`` of them.  Null
@@ -307,10 +308,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.regexp_extract(F.coalesce("__url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     parsed = written(parsed.withColumn("host", host), f"{path}/parsed")
 
-    texts = parsed.groupBy("host").agg(F.approx_count_distinct("sign", 0.02).alias("texts"))
+    texts = parsed.select("host", "sign").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     seen = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.*").distinct()
     counts = seen.groupBy("host", "h", "own").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    enough = F.when(F.col("own"), F.least(own_share * F.col("texts"), 4 * F.sqrt("texts"))).otherwise(min_share * F.col("texts"))
+    enough = F.when(F.col("own"), F.least(own_share * F.col("texts"), 4 * F.sqrt("texts"))).otherwise(F.least(min_share * F.col("texts"), F.sqrt("texts")))
     template = counts.join(texts, "host").where(F.col("n") >= enough).select(F.col("host").alias("t_host"), F.col("h").alias("t_h"))
     template = template.union(texts.where(F.col("texts") < min_pages).select("host", F.lit(MARKED).cast("long")))
     template = written(template, f"{path}/template")

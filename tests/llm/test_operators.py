@@ -371,6 +371,13 @@ def test_recurring_paragraphs_of_articles_go(spark):
     assert got[203] == "x 3" and got[220] == "teaser of it\nall"
 
 
+def test_templates_of_large_hosts_go(spark):
+    """A block on a few hundredths of a large host's pages is template: at 400 the root is 20."""
+    pages = [(i, f"http://h.example/{i}", f"<body><div>{'menu' if i < 20 else 'rare' if i < 39 else ''}</div><p>text {i}</p></body>") for i in range(400)]
+    got = {r["__id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[7] == "text 7" and got[30] == "rare\ntext 30" and got[50] == "text 50"
+
+
 def test_pages_by_brute_force(spark):
     from html import unescape
 
