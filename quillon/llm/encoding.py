@@ -81,7 +81,7 @@ class Encoder:
 
     def __init__(self, bpe: WordBpe):
         self.bpe, self.automaton = bpe, TokenAutomaton(bpe)
-        #: by run without white space: its ids as bytes, its tokens as text
+        #: by run without white space: its ids as bytes
         self.known = Memo(self._chunk, MAX_CHUNKS)
 
     def word(self, word: str) -> list[int]:
@@ -111,35 +111,31 @@ class Encoder:
             at = start[at]
         return ids[::-1]
 
-    def _pieces(self, text: str) -> tuple[list[bytes], list[str]]:
+    def _pieces(self, text: str) -> list[bytes]:
         raw: list[bytes] = []
-        names: list[str] = []
         for i, piece in enumerate(self.bpe.pieces(text)):
             if i % 2:
                 raw.append(np.array([self.bpe.special[piece]], "<u4").tobytes())
-                names.append(piece)
                 continue
-            found = list(map(self.known.__getitem__, self.bpe.chunks(piece)))
-            raw += [x for x, _ in found]
-            names += [x for _, x in found]
-        return raw, names
+            raw += map(self.known.__getitem__, self.bpe.chunks(piece))
+        return raw
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+    def _chunk(self, chunk: str) -> bytes:
         ids = [t for w in self.bpe.words_of(chunk) for t in self.word(w)]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.bpe.name.__getitem__, ids))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self._pieces(text)[0])
+        return b"".join(self._pieces(text))
 
     def decode(self, ids: bytes) -> str:
         """The tokens joined by blanks: the file names no decoder."""
         return " ".join(map(self.bpe.name.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def both(self, text: str) -> tuple[bytes, str]:
-        """encode(text), and decode of that, put together word by word."""
-        raw, names = self._pieces(text)
-        return b"".join(raw), " ".join(names)
+        """encode(text), and decode of that."""
+        ids = self.encode(text)
+        return ids, self.decode(ids)
 
 
 _BUILT: dict[bytes, Encoder] = {}

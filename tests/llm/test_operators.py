@@ -297,6 +297,13 @@ def test_token_queries_at_edges(spark, edges, empty):
     assert token_counts.token_counts(empty, VOCAB).count() == encoding.encoding_digests(empty, VOCAB).count() == 0
 
 
+def test_decoded_texts_come_from_decode(monkeypatch):
+    enc = encoding.encoder(read_vocabulary(VOCAB))
+    monkeypatch.setattr(encoding.Encoder, "decode", lambda self, ids: f"{len(ids)} bytes")
+    ids, text = enc.both("One word, and another.")
+    assert text == f"{len(ids)} bytes"
+
+
 def test_other_vocabularies_are_refused(tmp_path):
     spec = json.loads(read_vocabulary(VOCAB))
     spec["model"]["end_of_word_suffix"] = None
