@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.storage import shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "shared_dir", "string_buffers", "without_rows", "written"]
+__all__ = ["LOWER", "UPPER", "shared_dir", "string_buffers", "utf8_array", "without_rows", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -28,6 +28,11 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return raw, off
 
 
+def utf8_array(texts: list[bytes | None]) -> pa.Array:
+    """Bytes as a string column; what is malformed stays as it is."""
+    return pa.array(texts, pa.binary()).view(pa.string())
+
+
 def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``df`` without the rows whose row key is in ``gone`` (__id, __xx); null ids compare equal.
 

@@ -51,17 +51,9 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(repeats.without_repeats(_table(spark, sf_dir, "documents")))
-
-
-def _spans(found: DataFrame) -> DataFrame:
+    found = repeats.without_repeats(_table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select(F.col("__id").alias("doc_id"), "n_units", "n_removed", spans.alias("removed_spans"), F.col("__text").alias("text"))
-
-
-def op7_all_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op7_repeats, whose SQL asks for eight words, with every unit that has a word."""
-    return _spans(repeats.without_repeats(_table(spark, sf_dir, "documents"), min_words=1))
+    return found.select(F.col("id").alias("doc_id"), "n_words_removed", "n_removed", "n_words_repeated", spans.alias("removed_spans"), "text", "n_units")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +74,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("__id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_minhash, op3_warc, op4_shards, op5_decontaminate, op6_exact, op7_repeats, op7_all_repeats, op8_language, op9_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_minhash, op3_warc, op4_shards, op5_decontaminate, op6_exact, op7_repeats, op8_language, op9_token_counts, op10_bpe)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,14 +128,23 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op6_exact": f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256({_FOLDED}) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY {_FOLDED})""",
-    "op7_repeats": f"""
-WITH u AS (SELECT doc_id, text, unnest(range(1, len(l) + 1)) AS pos, l FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
-x AS (SELECT doc_id, pos, l[pos] AS unit, coalesce(list_sum(list_transform(l[1:pos - 1], lambda y: length(y) + 1)), 0)::BIGINT AS start,
-      list_filter(string_split_regex(translate(l[pos], '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS w FROM u),
-f AS (SELECT *, CASE WHEN len(w) >= 8 THEN row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, pos) > 1 ELSE false END AS gone FROM x),
-g AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, string_agg(start || '-' || (start + length(unit)), ',' ORDER BY pos) FILTER (gone) AS removed_spans,
-      string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept FROM f GROUP BY 1)
-SELECT d.doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_spans, '') AS removed_spans,
-       CASE WHEN g.doc_id IS NULL THEN d.text ELSE coalesce(kept, '') END AS text
-FROM documents d LEFT JOIN g USING (doc_id)""",
+    # t: words with the white space behind them; u: the unit of each; r: runs of units that occur again (kind 0) or earlier (kind 1)
+    "op7_repeats": rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS l, length(regexp_extract(text, '^[\x20\x09-\x0D]*')) AS lead FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, lead, generate_subscripts(l, 1) AS k, unnest(l) AS t FROM d),
+w AS (SELECT *, regexp_extract(t, '^[^\x20\x09-\x0D]+') AS w, regexp_extract(t, '[\x20\x09-\x0D]*$') AS gap, lead + sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS o FROM t),
+e AS (SELECT *, contains(gap, chr(10)) OR right(w, 1) IN ('.', '!', '?') AS stop FROM w),
+u AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM e),
+x AS (SELECT doc_id, u, count(*) AS n, min(o) AS a, max(o + length(w)) AS b, min(k) AS k1, max(k) AS k2, string_agg(translate(w, '{_UP}', '{_LOW}'), ' ' ORDER BY k) AS key FROM u GROUP BY 1, 2),
+f AS (SELECT *, count(*) OVER (PARTITION BY key) > 1 AS again, row_number() OVER (PARTITION BY key ORDER BY doc_id, u) > 1 AS later FROM x),
+g AS (SELECT *, 0 AS kind, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) AS run FROM f WHERE again UNION ALL SELECT *, 1, u - row_number() OVER (PARTITION BY doc_id ORDER BY u) FROM f WHERE later),
+r AS (SELECT doc_id, kind, sum(n) AS n, count(*) AS units, min(a) AS a, max(b) AS b, min(k1) AS k1, max(k2) AS k2 FROM g GROUP BY doc_id, kind, run HAVING sum(n) >= 25 OR max(b) - min(a) >= 200),
+c AS (SELECT doc_id, sum(n) FILTER (kind = 1) AS n_words_removed, sum(units) FILTER (kind = 1) AS n_removed, sum(n) FILTER (kind = 0) AS n_words_repeated,
+      string_agg(a || '-' || b, ',' ORDER BY a) FILTER (kind = 1) AS spans FROM r GROUP BY 1),
+left_ AS (SELECT e.doc_id, string_agg(CASE WHEN r.k1 IS NULL THEN e.t WHEN e.k = r.k2 AND contains(e.gap, chr(10)) AND NOT contains(coalesce(p.gap, chr(10)), chr(10)) THEN chr(10) ELSE '' END, '' ORDER BY e.k) AS text
+      FROM e LEFT JOIN r ON r.kind = 1 AND r.doc_id = e.doc_id AND e.k BETWEEN r.k1 AND r.k2 LEFT JOIN e p ON p.doc_id = r.doc_id AND p.k = r.k1 - 1 GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n_units FROM x GROUP BY 1)
+SELECT o.doc_id, coalesce(n_words_removed, 0)::BIGINT AS n_words_removed, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_words_repeated, 0)::BIGINT AS n_words_repeated, coalesce(spans, '') AS removed_spans,
+       CASE WHEN n_removed > 0 THEN left(o.text, d.lead) || left_.text ELSE o.text END AS text, coalesce(n_units, 0)::BIGINT AS n_units
+FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN left_ USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }

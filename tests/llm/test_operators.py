@@ -180,32 +180,71 @@ def test_decontaminate(spark, edges, empty, size):
 
 
 def test_repeats(spark, edges, empty):
-    rows = {r["__id"]: r for r in repeats.without_repeats(edges).collect()}
-    assert rows[None].n_removed == 0 and rows[1].n_removed == 1 and rows[1]["__text"] == "" and rows[2]["__text"] is None and rows[2].n_units == 0 and rows[3].n_units == 0
+    rows = {r["id"]: r for r in repeats.without_repeats(edges, min_words=1).collect()}
+    assert rows[None].n_removed == 0 and rows[1].n_removed == 1 and rows[1]["text"] == "" and rows[2]["text"] is None and rows[2].n_units == rows[3].n_units == rows[4].n_units == 0 and rows[4]["text"] == " \n\t "
+    assert rows[8].n_removed == 1 and rows[6].n_removed == rows[7].n_removed == 0 and rows[1].n_words_repeated == rows[None].n_words_repeated == 9
     line = "this line has more than eight words in it"
     docs = spark.createDataFrame([(1, f"a\n{line}\nb"), (2, f"é\n  THIS line has more than eight\twords in it \nc"), (3, "a\nb\nc"), (4, line), (4, line)], SCHEMA)
-    got = {r["__id"]: r for r in repeats.without_repeats(docs).collect()}
-    assert got[1].n_removed == 0 and got[2]["__text"] == "é\nc" and got[3].n_removed == 0 and got[4].n_removed == 1
+    got = {r["id"]: r for r in repeats.without_repeats(docs, min_words=8, min_chars=1000).collect()}
+    assert got[1].n_removed == 0 and got[2]["text"] == "é\n  c" and got[3].n_removed == 0 and got[4].n_removed == 1
     r = got[2].removed[0]
-    assert "é\n  THIS line has more than eight\twords in it \nc"[r.start : r.end].strip().startswith("THIS") and r.first_id == 1
+    assert "é\n  THIS line has more than eight\twords in it \nc"[r.start : r.end] == "THIS line has more than eight\twords in it"
     assert repeats.without_repeats(empty).count() == 0
+    lines = {r["id"]: r for r in repeats.without_repeats(spark.createDataFrame([(1, "One. Two.\nx"), (2, "Two.\nOne. Two.\ny")], SCHEMA), min_words=2, sentences=False).collect()}
+    assert lines[2]["text"] == "Two.\ny" and lines[1].n_units == 2
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 20])
+def test_long_unspaced_lines_and_malformed_bytes(spark, monkeypatch, piece):
+    monkeypatch.setattr(words, "PIECE", piece)
+    docs = spark.createDataFrame([(1, "中" * 250 + "\na"), (2, "b\n" + "中" * 250)], SCHEMA)
+    got = {r["id"]: r for r in repeats.without_repeats(docs).collect()}
+    assert got[1].n_removed == 0 and got[2]["text"] == "b\n" and [tuple(x) for x in got[2].removed] == [(2, 252)]
+    units = repeats.Units(True)
+    raw, off = string_buffers(pa.array(["one. two\nthree four! five", "", "\n one.\n", "x " * 200]))
+    assert sum(len(row) for _, row, *_ in units.documents(raw, off)) == 6
+    bad = docs.select("doc_id", F.concat(F.lit(b"\xff\n"), F.encode("text", "UTF-8")).cast("string").alias("text"))
+    assert {r["id"]: r.n_removed for r in repeats.without_repeats(bad).select("id", "n_removed").collect()} == {1: 0, 2: 1}
+
+
+def test_passages_by_brute_force(spark):
+    """Passages of over 50 words begin within lines of other texts: all but the first text that has one lose it, clean texts nothing."""
+    r = random.Random(11)
+    sentence = lambda v, n: " ".join(f"{v}{r.randrange(4000)}" for _ in range(n)) + "."
+    passages = [" ".join(sentence("p", r.randint(4, 12)) for _ in range(9)) for _ in range(5)]
+    docs = []
+    for i in range(120):
+        body = [sentence("w", r.randint(3, 15)) for _ in range(20)]
+        body[r.randrange(20)] = "A common line that stands in many of the texts."
+        text = "".join(x + r.choice([" ", "\n"]) for x in body)
+        cut = r.choice([k for k, c in enumerate(text) if c == " "])
+        docs.append((i, text if i % 3 else text[:cut] + " " + passages[i % 5] + text[cut:]))
+    got = {x["id"]: x for x in repeats.without_repeats(spark.createDataFrame(docs, SCHEMA)).collect()}
+    seen = set()
+    for i, text in docs:
+        if i % 3:
+            assert got[i]["text"] == text and got[i].n_words_repeated == 0
+            continue
+        again = i % 5 in seen
+        seen.add(i % 5)
+        assert (got[i].n_removed >= 7) == again and got[i].n_words_repeated > 25
+        tail = passages[i % 5].split(". ", 1)[1]
+        assert (tail in got[i]["text"]) != again
+        spans = got[i].removed
+        assert not again or (len(spans) == 1 and tail in text[spans[0].start : spans[0].end])
 
 
 def test_all_repeats_by_brute_force(spark):
-    """Short lines and lines without blanks go as well; the first in id order stays."""
-    got = {r.doc_id: r for r in queries.QUERIES["op7_all_repeats"](spark, SF).collect()}
-    seen, gone = set(), 0
-    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
-        kept = []
-        for unit in r.text.split("\n"):
-            key = " ".join(re.findall(r"[^\x20\x09-\x0D]+", unit.translate(FOLD)))
-            if key and key in seen:
-                gone += 1
-                continue
-            seen.add(key)
-            kept.append(unit)
-        assert got[r.doc_id].text == "\n".join(kept) and got[r.doc_id].n_removed == r.text.count("\n") + 1 - len(kept)
-    assert gone > sum(r.n_removed for r in queries.QUERIES["op7_repeats"](spark, SF).collect())
+    """With one word every repeated line goes; the first in id order stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["id"]: r for r in repeats.without_repeats(docs, min_words=1, sentences=False).collect()}
+    seen = set()
+    for r in docs.orderBy("doc_id").collect():
+        keys = [k for k in (" ".join(re.findall(r"[^\x20\x09-\x0D]+", x.translate(FOLD))) for x in r.text.split("\n")) if k]
+        kept = [k for j, k in enumerate(keys) if k not in seen and k not in keys[:j]]
+        seen.update(keys)
+        left = [k for k in (" ".join(re.findall(r"[^\x20\x09-\x0D]+", x.translate(FOLD))) for x in got[r.doc_id]["text"].split("\n")) if k]
+        assert left == kept and got[r.doc_id].n_removed == len(keys) - len(kept)
 
 
 def test_language(spark, edges, empty):
