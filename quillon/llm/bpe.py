@@ -1,19 +1,22 @@
 """A word-level BPE vocabulary with word ends, and how texts fall into its words.
 
 The vocabulary file is a parameter; its bytes travel to the executors with the
-plan (a file of at most ``MAX_FILE`` bytes is taken).
+plan, as the file's size doesn't depend on the corpus.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import regex
 
-MAX_FILE = 64 << 20
 NO_TOKEN = -1
+#: Characters of a text whose words are listed at a time, and up to the next white space.
+SLICE = 1 << 19
 #: Symbols are bytes; a word's last byte has 256 added.
 FINAL = 256
 
@@ -26,10 +29,7 @@ def _byte_letters() -> list[str]:
 
 
 def read_vocabulary(path: str) -> bytes:
-    raw = Path(path).read_bytes()
-    if len(raw) > MAX_FILE:
-        raise ValueError(f"{path} has over {MAX_FILE} bytes")
-    return raw
+    return Path(path).read_bytes()
 
 
 class WordBpe:
@@ -63,11 +63,8 @@ class WordBpe:
         cut = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self._special = regex.compile(f"({cut})") if cut else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # letters and numbers that are newer than the tables of the pattern's own engine count as neither
-        new = _newer()
-        pattern = split["pattern"]["Regex"].replace("[\\p{L}]", f"[\\p{{L}}--{new}]").replace("[\\p{N}]", f"[\\p{{N}}--{new}]").replace("[^\\s\\p{L}\\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||{new}]")
-        #: the words of a run without white space
-        self.words_of = regex.compile(pattern, regex.V1).findall
+        #: the words of a normalised text; no word goes over white space
+        self.words_of = _matcher(split["pattern"]["Regex"])
         #: results of fits, by a << 20 | b
         self.fit = Memo(lambda k: self.fits(k >> 20, k & 0xFFFFF), 1_000_000)
 
@@ -98,46 +95,78 @@ class WordBpe:
         """Texts between special tokens at even places, special tokens at odd ones."""
         return self._special.split(text) if self._special and "<|" in text else [text]
 
-    def chunks(self, text: str) -> list[str]:
-        """What white space leaves of a text without special tokens, composed and lower-cased; no word goes over a gap."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if _BEYOND(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
-                text = _lower_new(text)
-            text = text.replace("Σ", "σ")  # no special final form
-        text = text.lower()
-        return _RUNS(text) if _ODD_GAP(text) else text.split()
-
     def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens."""
-        return [w for c in self.chunks(text) for w in self.words_of(c)]
+        """The words of a text without special tokens: composed, lower-cased, cut by the file's pattern."""
+        return self.words_of(normalised(text))
+
+    def runs(self, text: str) -> Iterator[tuple[bool, list[str]]]:
+        """(whether these are special tokens, words) over a whole text; a long text comes in slices, cut before white space."""
+        for i, piece in enumerate(self.pieces(text)):
+            if i % 2:
+                yield True, [piece]
+                continue
+            at = 0
+            while at < len(piece):
+                gap = _BLANK(piece, at + SLICE) if len(piece) - at > SLICE else None
+                to = gap.start() if gap else len(piece)
+                yield False, self.words(piece[at:to])
+                at = to
+
+
+def normalised(text: str) -> str:
+    if not text.isascii():
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if _BEYOND(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            text = _lower_new(text)
+        text = text.replace("Σ", "σ")  # no special final form
+    return text.lower()
+
+
+_BLANK = re.compile(r"[ \t\r\n]").search
+_BEYOND = regex.compile("[\u0558-\U0010ffff]").search
 
 
-#: str.split() parts at these, the pattern's white space doesn't hold them.
-_ODD_GAP = regex.compile("[\x1c-\x1f]").search
-_RUNS = regex.compile(r"\S+").findall
-_BEYOND = regex.compile("[\u0558-\U0010ffff]").search
+def _ranges(chars: Iterable[str]) -> str:
+    """The inside of a character class."""
+    out: list[list[int]] = []
+    for c in map(ord, chars):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-def _newer() -> str:
-    """A character class: letters and numbers to this module's tables, but not to those of the pattern's own engine.
+def _matcher(pattern: str):
+    """findall of a pattern of letters, numbers and white space, with the classes of the pattern's own engine spelled out.
 
-    Only characters that this Python doesn't know are in question; the engine is asked about all of them at once.
+    The engine is asked about characters that this Python doesn't know; it may know fewer than ``regex``.
     """
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    every = "".join(map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))))
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     asked = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
     known = {c for c, _ in Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str("".join(asked))}
-    ranges: list[list[int]] = []
-    for c in (ord(c) for c in asked if c not in known):
-        if ranges and c == ranges[-1][1] + 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges or [[0x10FFFF, 0x10FFFF]]) + "]"
+    new = set(asked) - known
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(f"[{name}]", name)
+    found = {name: [c for c in regex.findall(name, every) if c not in new] for name in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def spelled(last: str):
+        letters, numbers, blanks = (_ranges(c for c in chars if c <= last) for chars in found.values())
+        text = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+        if r"\p" in text or r"\s" in text:
+            raise ValueError("the vocabulary's pattern has classes that aren't known here")
+        return re.compile(text).findall
+
+    # classes beyond the first plane are looked through one range after the other
+    first_plane, all_planes = spelled("\uffff"), spelled("\U0010ffff")
+    return lambda text: (all_planes if _ASTRAL(text) else first_plane)(text)
+
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]").search
 
 
 def _lower_new(text: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.storage import shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "shared_dir", "string_buffers", "utf8_array", "without_rows", "written"]
+__all__ = ["LOWER", "UPPER", "shared_dir", "read_texts", "string_buffers", "utf8_array", "without_rows", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -28,6 +28,14 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return raw, off
 
 
+def read_texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
+    """The texts of a column: null is empty, malformed UTF-8 becomes U+FFFD."""
+    try:
+        return pc.fill_null(column, "").to_pylist()
+    except UnicodeDecodeError:
+        return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def utf8_array(texts: list[bytes | None]) -> pa.Array:
     """Bytes as a string column; what is malformed stays as it is."""
     return pa.array(texts, pa.binary()).view(pa.string())

@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import FINAL, NO_TOKEN, Memo, WordBpe, read_vocabulary, vocabulary
+from quillon.llm.common import read_texts
 
-MAX_CHUNKS = 300_000
+#: Words whose ids a worker remembers.
+MAX_WORDS = 500_000
 
 
 class TokenAutomaton:
@@ -81,8 +83,9 @@ class Encoder:
 
     def __init__(self, bpe: WordBpe):
         self.bpe, self.automaton = bpe, TokenAutomaton(bpe)
-        #: by run without white space: its ids as bytes
-        self.known = Memo(self._chunk, MAX_CHUNKS)
+        #: by word: its ids as bytes
+        self.known = Memo(lambda w: struct.pack(f"<{len(ids := self.word(w))}I", *ids), MAX_WORDS)
+        self.names = np.array([bpe.name.get(i, "") for i in range(max(bpe.name) + 1)], object)
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -111,26 +114,14 @@ class Encoder:
             at = start[at]
         return ids[::-1]
 
-    def _pieces(self, text: str) -> list[bytes]:
-        raw: list[bytes] = []
-        for i, piece in enumerate(self.bpe.pieces(text)):
-            if i % 2:
-                raw.append(np.array([self.bpe.special[piece]], "<u4").tobytes())
-                continue
-            raw += map(self.known.__getitem__, self.bpe.chunks(piece))
-        return raw
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = [t for w in self.bpe.words_of(chunk) for t in self.word(w)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self._pieces(text))
+        known, special = self.known.__getitem__, self.bpe.special
+        return b"".join([struct.pack("<I", special[words[0]]) if odd else b"".join(map(known, words)) for odd, words in self.bpe.runs(text)])
 
     def decode(self, ids: bytes) -> str:
         """The tokens joined by blanks: the file names no decoder."""
-        return " ".join(map(self.bpe.name.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return " ".join(self.names[np.frombuffer(ids, "<u4")].tolist())
 
     def both(self, text: str) -> tuple[bytes, str]:
         """encode(text), and decode of that."""
@@ -155,7 +146,7 @@ def _rows(raw, make: Callable[[bytes, str], tuple], types: list[pa.DataType], na
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                made = [make(*e.both(t or "")) for t in part.column(1).to_pylist()]
+                made = [make(*e.both(t)) for t in read_texts(part.column(1))]
                 columns = zip(*made, strict=True) if made else [[] for _ in types]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], ["__id", *names])
 
