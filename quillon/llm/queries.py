@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.main_text(_table(spark, sf_dir, "pages"))
-    return found.select(F.col("__id").alias("page_id"), F.col("__url").alias("url"), "text", "n_chars")
+    return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return found.select(F.col("__id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
