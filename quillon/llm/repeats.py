@@ -95,9 +95,9 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = written(units, f"{shared_dir(docs.sparkSession)}/units")
     at = F.struct("id", "place")
     first = units.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("first") != F.col("last"))
-    # an exchange of its own for this side: the join can split a hot digest
-    first = first.select((F.col("h1") + F.lit(0)).alias("d1"), (F.col("h2") + F.lit(0)).alias("d2"), "first")
-    both = units.join(first, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
+    # other keys than the aggregate's give this side an exchange of its own: the join can split a hot digest
+    first = first.select(F.bitwise_not("h1").alias("d1"), F.bitwise_not("h2").alias("d2"), "first")
+    both = units.join(first, (F.bitwise_not("h1") == F.col("d1")) & (F.bitwise_not("h2") == F.col("d2")))
     return both.select("id", "place", (~at.eqNullSafe(F.col("first"))).alias("later"), F.col("first.id").alias("first_id"))
 
 
