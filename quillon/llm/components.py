@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> D
     Each round makes a large star and a small star of every node and is
     written to ``path``; rounds grow with the logarithm of the longest chain.
     No node's neighbours meet in memory: they are only aggregated with min, and
-    the join back can be split by the adaptive skew join.  Null ends and loops
+    the join back, whose keys are the aggregate's inverted bits so that each side has an
+    exchange of its own, can be split by the adaptive skew join.  Null ends and loops
     are left out; an empty table gives an empty one.
     """
     e = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))
@@ -51,10 +52,10 @@ def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> D
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select((F.col("u") + F.lit(0)).alias("w"), "m")
-        large = both.join(low, both["u"] == low["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select((F.col("u") + F.lit(0)).alias("w"), "m")
-        small = large.join(low, large["u"] == low["w"])
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.bitwise_not("u").alias("w"), "m")
+        large = both.join(low, F.bitwise_not(both["u"]) == low["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("w"), "m")
+        small = large.join(low, F.bitwise_not(large["u"]) == low["w"])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         e = written(small.where("u <> v").distinct(), f"{path}/cc-{uuid.uuid4().hex}")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

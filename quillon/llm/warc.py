@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir, written
+from quillon.llm.common import read_texts, shared_dir, written
 
 #: Lines of an index block; bytes between two records that are still read over; bytes of a read.
 BLOCK_LINES, GAP, READ = 1000, 1 << 16, 8 << 20
+#: Bytes of records that a task reads.
+TASK_BYTES = 64 << 20
 _MAGIC = b"QIX1"
 
 
@@ -49,10 +51,20 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
 
 
-def _filesystem(uri: str):
+def arrow_uri(uri: str) -> str:
+    """The name that Arrow has for a folder in Spark's words; what it can't open raises ValueError."""
+    scheme, _, rest = uri.partition(":")
+    name = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}.get(scheme) if rest else None
+    if name is None:
+        raise ValueError(f"archives can't be written to the file system of {uri}")
+    return f"{name}://{rest.lstrip('/')}" if name != "file" else "file:///" + rest.lstrip("/")
+
+
+def filesystem(uri: str):
+    """(Arrow's file system, path)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def _header(value: str | None) -> str:
@@ -85,17 +97,16 @@ def _gzip(raw: bytes) -> bytes:
 
 
 def _write_udf(folder: str):
-    """(row, page, url, html, revisit, refers_to) -> (key, page, row, file, offset, length); a file for each task."""
+    """(row, page, url, payload, revisit, refers_to) -> (key, page, row, file, offset, length); a file for each task."""
 
     def run(batches):
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         name, at, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         try:
             for batch in batches:
                 rows = []
-                for row, page, url, html, revisit, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    payload = (html or "").encode()
+                for row, page, payload, revisit, refers, url in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), read_texts(batch.column(2)), strict=True):
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     packed = _gzip(record(page, row, url, payload, digest, refers, revisit))
                     out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
@@ -120,7 +131,7 @@ def _index_udf(folder: str):
     """Sorted captures -> (file, first key, page and row, captures); one index file for each task."""
 
     def run(batches):
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         name, at, out, n, first = f"{uuid.uuid4().hex}.idx", 0, None, 0, None
         directory: list[tuple[list, int, int]] = []
@@ -157,7 +168,7 @@ class CaptureIndex:
     """Searches index files; holds one directory and one block at a time."""
 
     def __init__(self, folder: str, files: list[tuple[str, str, int | None, int]]):
-        self.fs, self.base = _filesystem(folder)
+        self.fs, self.base = filesystem(folder)
         files = sorted(files, key=lambda f: _rank(*f[1:]))
         self.files, self.firsts = [f[0] for f in files], [_rank(*f[1:]) for f in files]
         self.open = self.block = None
@@ -204,7 +215,7 @@ def _read_udf(folder: str):
     number = lambda urn: int(x) if (x := urn.strip("<>").split(":")[2]) else None
 
     def run(batches):
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         name, source = None, None
         for batch in batches:
             places = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -237,10 +248,17 @@ def _read_udf(folder: str):
 
 
 class Archive:
-    """Written records and their index: ``captures`` (key, page, row, file, offset, length), index files, folder."""
+    """Written records and their index: ``captures`` (key, page, row, file, offset, length), index files, folder.
+
+    ``tasks`` share the look-ups and reads, by default as many as Spark's shuffle
+    partitions, or more for archives of over ``TASK_BYTES`` in each.  The number is
+    given to Spark, which else would merge tasks by the few bytes of a place, where
+    each stands for the bytes of a record.
+    """
 
-    def __init__(self, folder: str, captures: DataFrame, files: list[tuple[str, str, int | None, int]]):
+    def __init__(self, folder: str, captures: DataFrame, files: list[tuple[str, str, int | None, int]], n_bytes: int):
         self.folder, self.captures, self.files = folder, captures, files
+        self.tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
 
     def look_up(self, wanted: DataFrame) -> DataFrame:
         """(file, offset, length) for rows (key, page, row) of ``wanted``, by search in the index.
@@ -248,42 +266,46 @@ class Archive:
         Rows are dealt by key range, so that each task passes through its part of the index once.
         """
         files = wanted.sparkSession.sparkContext.broadcast(self.files)  # one entry for each index file
-        near = wanted.select("key", "page", "row").repartitionByRange("key", "page", "row").sortWithinPartitions("key", "page", "row")
+        near = wanted.select("key", "page", "row").repartitionByRange(self.tasks, "key", "page", "row").sortWithinPartitions("key", "page", "row")
         return near.mapInArrow(_find_udf(f"{self.folder}/index", files), "file string, offset long, length long")
 
     def read(self, places: DataFrame, with_payload: bool = True) -> DataFrame:
         """(page, payload_bytes, payload_digest, record_type, refers_to, url, payload) of the records at ``places``.
 
-        Null payload: a revisit.  Page -1 stands for none, as the number null.
+        Null payload: a revisit.  A page without an id has a null page.
         """
         order = ["file", "offset"]
-        out = places.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        out = places.repartitionByRange(self.tasks, *order).sortWithinPartitions(*order).mapInArrow(
             _read_udf(f"{self.folder}/warc"), "page long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
         return out if with_payload else out.drop("payload")
 
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> Archive:
-    """Write every page as a record, and the index.
+    """Write every page as a record, and the index, under ``spark.checkpoint.dir``.
 
-    Null html is an empty payload.  Of pages with equal payloads of at least
-    ``min_revisit_bytes`` bytes that with the largest id (null ranks lowest) is a
-    response, those of other ids revisit it; repeated rows of that id are all
-    responses.  Null and unreadable urls have keys of their own.
+    Null html is an empty payload, malformed UTF-8 stays as it is.  Of pages with
+    equal payloads of at least ``min_revisit_bytes`` bytes that with the largest id (null
+    ranks lowest) is a response, those of other ids revisit it; repeated rows of
+    that id are all responses.  Null and unreadable urls have keys of their own.
+    A folder in a file system that can't be written to raises ValueError at once.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark)
-    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), F.xxhash64(html).alias("xx"))
-    digests = written(pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.xxhash64(html).alias("xx"), F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("sha"), F.octet_length(html).alias("n")), f"{folder}/digests")
+    arrow_uri(folder)
+    html = F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b""))
+    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").alias("url"), html.alias("payload"))
+    digests = written(src.select("page", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").alias("n")), f"{folder}/digests")
     long_ = digests.where(F.col("n") >= min_revisit_bytes)
     groups = long_.groupBy("sha").agg(F.max("page").alias("best"), F.count("*").alias("c")).where("c > 1").select(F.concat("sha", F.lit(b"")).alias("g"), "best")
-    revisits = long_.join(groups, F.col("sha") == F.col("g")).where(~F.col("page").eqNullSafe(F.col("best"))).select(F.col("page").alias("r_page"), F.col("xx").alias("r_xx"), "best").distinct()
+    revisits = long_.join(groups, F.col("sha") == F.col("g")).where(~F.col("page").eqNullSafe(F.col("best"))).select(F.col("page").alias("r_page"), F.col("sha").alias("r_sha"), "best").distinct()
     revisits = written(revisits, f"{folder}/revisits")
-    both = src.join(revisits, F.col("page").eqNullSafe(F.col("r_page")) & (F.col("xx") == F.col("r_xx")), "left")
-    both = both.select(F.monotonically_increasing_id().alias("row"), "page", "url", "html", F.col("r_xx").isNotNull().alias("revisit"), "best")
+    src = src.withColumn("sha", F.unhex(F.sha1("payload")))
+    both = src.join(revisits, F.col("page").eqNullSafe(F.col("r_page")) & (F.col("sha") == F.col("r_sha")), "left")
+    both = both.select(F.monotonically_increasing_id().alias("row"), "page", "url", "payload", F.col("r_sha").isNotNull().alias("revisit"), "best")
     captures = both.mapInArrow(_write_udf(f"{folder}/warc"), "key string, page long, row long, file string, offset long, length long")
     captures = written(captures, f"{folder}/captures")
     order = ["key", "page", "row"]
     index = captures.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, "file", "offset", "length")
     files = index.mapInArrow(_index_udf(f"{folder}/index"), "file string, key string, page long, row long, n long")
-    return Archive(folder, captures, [(r.file, r.key, r.page, r.row) for r in files.collect()])  # one row for each task
+    n_bytes = captures.agg(F.sum("length")).first()[0] or 0
+    return Archive(folder, captures, [(r.file, r.key, r.page, r.row) for r in files.collect()], n_bytes)  # one row for each task

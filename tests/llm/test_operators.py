@@ -301,16 +301,29 @@ def test_bpe_is_the_library(bpe):
         ids, text = enc.both(t)
         assert np.frombuffer(ids, "<u4").tolist() == want and enc.encode(t) == ids
         assert text == enc.decode(ids) == lib.decode(want, skip_special_tokens=False)
-        assert sum(1 if i % 2 else fst.text(p) for i, p in enumerate(bpe.pieces(t))) == len(want)
+        assert fst.counts([t]) == [len(want)]
 
 
 def test_chunk_maps_compose(bpe):
-    fst = token_counts.Transducer(bpe)
-    for t in samples()[:300]:
-        for p in bpe.pieces(t)[::2]:
-            assert len({token_counts.scanned(p, fst.text, c) for c in (1, 3, 17)} | {fst.text(p)}) == 1
-    a, b, c = (token_counts.chunk_map(x, fst.text) for x in ("ab c", "de", "f gh"))
-    assert token_counts.compose(token_counts.compose(a, b, fst.text), c, fst.text) == token_counts.compose(a, token_counts.compose(b, c, fst.text), fst.text)
+    """Chunks of any length give the library's count, wherever they cut words; maps compose associatively."""
+    from tokenizers import Tokenizer
+
+    lib, fst = Tokenizer.from_file(VOCAB), token_counts.Transducer(bpe)
+    texts = [*samples()[:300], "x" * 5000, "abcdefgh" * 300 + " z"]
+    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk in (1, 3, 17, 1000):
+        assert fst.counts(texts, chunk) == want
+    stream, bounds, _ = fst.symbols(["unbelievable thereabouts incomprehensibility", "q" * 40])
+    for chunk in (2, 5):
+        maps, upto = fst.chunk_maps(stream, bounds, chunk)
+        assert any(len(m) > 1 for m in maps)
+        for a, b, c in zip(maps, maps[1:], maps[2:], strict=False):
+            left, right = (token_counts.compose(token_counts.compose(a, b), c), token_counts.compose(a, token_counts.compose(b, c)))
+            assert left == right
+        mine, total = maps[: upto[1]], {}
+        for m, scanned in zip(mine, token_counts.prefix_scan(mine), strict=True):
+            total = token_counts.compose(total, m) if total else m
+            assert scanned == total
 
 
 def test_tables_forget(bpe, monkeypatch):
@@ -318,21 +331,27 @@ def test_tables_forget(bpe, monkeypatch):
 
     m = Memo(len, 4)
     assert [m[x] for x in ("a", "bb", "ccc", "dddd", "a", "eeeee")] == [1, 2, 3, 4, 1, 5] and len(m) + len(m.old) <= 5
-    monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 20)
+    monkeypatch.setattr(token_counts, "MAX_TRANSITIONS", 5)
     small, large = token_counts.Transducer(bpe), token_counts.Transducer(bpe)
     words_ = [f"word{i}ing" for i in range(50)]
-    assert [small.word(w) for w in words_] == [large.word(w) for w in words_]
+    assert [small.counts([w]) for w in words_] == [[n] for n in large.counts(words_)] and small.known < large.known
 
 
 def test_token_queries_at_edges(spark, edges, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(VOCAB)
-    counts = [(r["__id"], r.n_bytes, r.n_tokens) for r in token_counts.token_counts(edges, VOCAB).collect()]
+    texts = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    counts = [(r.id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(edges, VOCAB).collect()]
     assert sorted(counts, key=str) == sorted([(i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in EDGES], key=str)
     for r in encoding.encoded(edges, VOCAB).where("__id < 5").collect():
         ids = lib.encode(dict(EDGES)[r["__id"]] or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
+    for r in queries.QUERIES["op10_bpe"](spark, SF).collect():
+        text = lib.decode(lib.encode(dict(texts)[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    bad = spark.createDataFrame([(1, bytearray(b"ab\xff cd"))], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    assert token_counts.token_counts(bad, VOCAB).first().n_tokens == len(lib.encode("ab\ufffd cd", add_special_tokens=False).ids) == encoding.encoding_digests(bad, VOCAB).first().n_tokens
     assert token_counts.token_counts(empty, VOCAB).count() == encoding.encoding_digests(empty, VOCAB).count() == 0
 
 
@@ -350,6 +369,11 @@ def test_other_vocabularies_are_refused(tmp_path):
         WordBpe(json.dumps(spec).encode())
 
 
+def few(html):
+    """The text of a page that is its host's only one."""
+    return "\n".join(t for t, _, flag in html_text.read_page(html)[0] if not flag)
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href='/'>Home</a></nav><div class='cookie-notice'>We use</div>{}<footer>&copy; x</footer></body></html>"
 
 
@@ -362,7 +386,7 @@ PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a hre
     ("<article>" + "<b>" * 3000 + "deep" + "</article>", "deep"),
 ])
 def test_page(html, want):
-    assert "\n".join(t for t, _ in html_text.read_page(html or "")[0]) == want
+    assert few(html or "") == want
 
 
 @pytest.mark.parametrize(("html", "want"), [
@@ -370,7 +394,7 @@ def test_page(html, want):
     ("<style>a<b</styled></STYLE\n><p>c", "c"), ("<p>d<script>x<y</p>", "d"), ("<title>a<b</title>e", "e"),
 ])
 def test_scripts_end_at_their_own_tag(html, want):
-    assert "\n".join(t for t, _ in html_text.read_page(html)[0]) == want
+    assert few(html) == want
 
 
 @pytest.mark.parametrize(("html", "want"), [
@@ -380,14 +404,39 @@ def test_scripts_end_at_their_own_tag(html, want):
     ("<div class=content><p>long text of the page</div><div class=related><article><p>other</article></div>", "long text of the page"), ("<div class=main-menu><p>links links</div><p>a", "a"),
 ])
 def test_marks_around_the_article(html, want):
-    assert "\n".join(t for t, _ in html_text.read_page(html)[0]) == want
+    assert few(html) == want
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><p class='social-science'>One</p><h2 id='comments-on-theory'>Two</h2><section id='share-of-market'><p>Three</p></section><p>Four</p></article>", "One\nTwo\nThree\nFour"),
+    ("<body><header>Site name</header><p>text</p><footer>x</footer></body>", "text"), ("<article><header>by one</header><p>a</article>", "a"),
+    ("<article>a</article><p>x<article>bb bb</article>", "a\nbb bb"), ("<article><p>a<div id=comments>b</div><article class=comment>c</article></article>", "a"),
+])
+def test_names_and_articles(html, want):
+    assert few(html) == want
+
+
+@pytest.mark.parametrize("html", ["<div>" * 200_000 + "x", "<div>y" * 50_000 + "</b></p>" * 50_000, "<div><li>y" * 50_000, "<li>" + "<div>y<p><b>" * 50_000])
+def test_long_and_deep_pages_are_read_in_linear_time(html):
+    from time import process_time
+
+    read = []
+    for part in (html[: len(html) // 4], html):
+        began = process_time()
+        found = html_text.read_page(part)
+        read.append((process_time() - began, len(found[0]) + len(found[1])))
+    assert read[1][0] < 8 * read[0][0] + 0.5 and read[1][0] < 10
 
 
-def test_marks_decide_where_counts_cannot(spark):
-    pages = [(i, f"http://many.example/{i}", f"<p>text {i}</p><div class=alert>own {i}</div><div class=menu>same</div>") for i in range(8)]
-    pages += [(20 + i, "http://few.example/", f"<p>text {i}</p><div class=alert>own {i}</div>") for i in range(3)]
-    got = {r["__id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3] == "text 3\nown 3" and got[21] == "text 1"
+def test_counts_decide_on_hosts_with_enough_pages(spark):
+    """There no class is asked, nor the article element: what recurs goes, in its slot or as it is, the rest stays."""
+    pages = [(i, f"http://many.example/{i}", f"<div class=x7>{'abcde'[i % 5]} teaser</div><p>text {i}</p><div class=alert>own {i}</div><article><p>more {i}</p></article><div><b>{i % 20} of all</b></div><span>{i}</span>") for i in range(60)]
+    pages += [(100 + i, "http://few.example/", f"<p>text {i}</p><div class=alert>own {i}</div>") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["id"]: r.text for r in html_text.main_text(df).collect()}
+    assert got[7] == "text 7\nown 7\nmore 7\n7" and got[101] == "text 1"
+    off = {r["id"]: r.text for r in html_text.main_text(df, min_pages=1000, slot_share=2.0).collect()}
+    assert off[7] == "c teaser\ntext 7\nown 7\nmore 7\n7 of all\n7"  # without counts their text stays
 
 
 def test_templates_go(spark):
@@ -398,7 +447,7 @@ def test_templates_go(spark):
     pages += [(60, None, None), (61, "::", ""), (62, "http://h.example/z", "<div>buy our things</div>"), (60, None, None)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("blocks", F.lit(1)).withColumn("host", F.lit("x"))
     rows = html_text.main_text(df).collect()
-    got = {r["__id"]: r.text for r in rows}
+    got = {r["id"]: r.text for r in rows}
     assert len(rows) == len(pages) and got[3] == "text 3" and got[23] == "same words\nown 3" and got[40] == "all of it" and got[60] == got[61] == got[62] == ""
     assert all(r.n_chars == len(r.text) for r in rows)
     assert html_text.main_text(df.limit(0)).count() == 0
@@ -411,7 +460,7 @@ def test_recurring_paragraphs_of_articles_go(spark):
     near = "<article><p>The longest paragraph of the article</p><p>and another one</p><p>dated {0}</p></article>"
     pages += [(100 + i, "http://near.example/", near.format(i)) for i in range(12)]
     pages += [(200 + i, "http://list.example/", f"<p>teaser of it</p><div>x {i}</div>") for i in range(9)] + [(220, "http://list.example/", "<article><p>teaser of it</p><p>all</p></article>")]
-    got = {r["__id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    got = {r["id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[7] == "T\nown words of page 7, with some more of them\nli 7"
     assert got[105] == "The longest paragraph of the article\nand another one\ndated 5"
     assert got[203] == "x 3" and got[220] == "teaser of it\nall"
@@ -420,7 +469,7 @@ def test_recurring_paragraphs_of_articles_go(spark):
 def test_templates_of_large_hosts_go(spark):
     """A block on a few hundredths of a large host's pages is template: at 400 the root is 20."""
     pages = [(i, f"http://h.example/{i}", f"<body><div>{'menu' if i < 20 else 'rare' if i < 39 else ''}</div><p>text {i}</p></body>") for i in range(400)]
-    got = {r["__id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    got = {r["id"]: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), slot_share=2.0).collect()}
     assert got[7] == "text 7" and got[30] == "rare\ntext 30" and got[50] == "text 50"
 
 
@@ -458,6 +507,16 @@ def test_archive(spark, monkeypatch):
     assert all(r.record_type == "response" for r in b.read(b.look_up(b.captures)).collect())
     e = warc.write_archive(df.limit(0))
     assert e.read(e.look_up(e.captures)).count() == 0
+    bad = spark.createDataFrame([(1, "http://a.example/", bytearray(b"a\xff"))], "page_id long, url string, html binary").withColumn("html", F.col("html").cast("string"))
+    c = warc.write_archive(bad)
+    row = c.read(c.look_up(c.captures)).first()
+    assert bytes(row.payload) == b"a\xff" and row.payload_digest == base64.b32encode(hashlib.sha1(b"a\xff").digest()).decode()
+    n = len(a.read(a.look_up(a.captures), with_payload=False).rdd.glom().map(len).collect())
+    assert n == a.tasks >= 4
+    for uri in ("dbfs:/x", "wasbs://a@b/c", "oddfs://x/y"):
+        with pytest.raises(ValueError, match="file system"):
+            warc.filesystem(uri)
+    assert warc.arrow_uri("s3a://b/k") == "s3://b/k" and warc.arrow_uri("file:/x/y") == "file:///x/y"
     assert warc.url_key("http://www.Example.com:80/a?b") == "com,example,www)/a?b" and warc.url_key("https://e.org:8443") == "org,e:8443)/"
 
 
