@@ -5,17 +5,33 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.storage import shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "shared_dir", "read_texts", "string_buffers", "utf8_array", "without_rows", "written"]
+__all__ = ["LOWER", "UPPER", "arrow_uri", "filesystem", "fresh", "quoted", "read_texts", "shared_dir", "string_buffers", "utf8_array", "without_rows", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+def arrow_uri(uri: str) -> str:
+    """The name that Arrow has for a folder in Spark's words; what it can't open raises ValueError."""
+    scheme, _, rest = uri.partition(":")
+    name = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}.get(scheme) if rest else None
+    if name is None:
+        raise ValueError(f"Arrow can't open the file system of {uri}")
+    return f"{name}://{rest.lstrip('/')}" if name != "file" else "file:///" + rest.lstrip("/")
+
+
+def filesystem(uri: str):
+    """(Arrow's file system, path)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without a copy of the bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -41,13 +57,29 @@ def utf8_array(texts: list[bytes | None]) -> pa.Array:
     return pa.array(texts, pa.binary()).view(pa.string())
 
 
-def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` without the rows whose row key is in ``gone`` (__id, __xx); null ids compare equal.
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` doesn't have, in any spelling of its letters."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """``df`` without the rows whose row key is in ``gone`` (id, hash of the text); null ids compare equal.
 
-    An anti join: Spark broadcasts ``gone`` only if its size is known to be
+    A semi or anti join: Spark broadcasts ``gone`` only if its size is known to be
     under spark.sql.autoBroadcastJoinThreshold, else both sides are shuffled.
     """
-    names = df.columns
-    left = df.select("*", *[c.alias(f"__left{i}") for i, c in enumerate((F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))))])
-    cond = left["__left0"].eqNullSafe(gone["__id"]) & (left["__left1"] == gone["__xx"])
-    return left.join(gone, cond, "left_anti").select(*[F.col(f"`{n}`") for n in names])
+    own_id, own_xx, gone_id, gone_xx = fresh(df, "own_id", "own_xx", "gone_id", "gone_xx")
+    left = df.select("*", quoted(id_col).alias(own_id), F.xxhash64(quoted(text_col)).alias(own_xx))
+    cond = F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_xx) == F.col(gone_xx))
+    return left.join(gone.toDF(gone_id, gone_xx), cond, how).select(*map(quoted, df.columns))

@@ -5,26 +5,31 @@ longest match that ends at each word.  Where it reaches a window's length the
 window's words are hit.  An item's windows are its runs of ``window`` words; an
 item of fewer words is one window.
 
-Runs of words that can't hold a window (a neighbouring pair that no item has)
-lead the automaton back to its start, so they are found with arrays and passed over.
-
-The items are dealt to automata of bounded size, each of which is broadcast.
-Documents stream through one without a shuffle.  Where items need more of them,
-each has a job of its own, so that no task holds two; all but the first write
-down only documents with hits, and those are grouped by document.
+1. The neighbouring word pairs of all items set bits of a map of bounded size.
+   One pass over the documents counts words and writes down the runs of words
+   that are all linked by such pairs and long enough for a window: all other
+   words lead an automaton back to its start.
+2. Items are dealt to automata of bounded size, and the runs, a small part of
+   the corpus, stream through one after the other.  Only one automaton is
+   broadcast at a time, and no task holds two.
+
+Words are equal if their 64-bit hashes are; two of n different words share one
+with probability n^2 / 2^65, and a window would need that of all its words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir, string_buffers, without_rows, written
+from quillon.llm.common import quoted, shared_dir, string_buffers, without_rows, written
 from quillon.llm.words import ALNUM, WordHasher, mix
 
 
@@ -111,63 +116,89 @@ class SuffixAutomaton:
 
 
 class Matcher:
-    """An automaton with what passes over words that can't match."""
+    """An automaton of items' words, and what passes over words that can't match."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.hasher = WordHasher(ALNUM)
+        hasher = WordHasher(ALNUM)
         raw, off = string_buffers(pa.array([t for _, t in items], pa.string()))
-        hashed = [(i, h[b[j] : b[j + 1]]) for i, h, b, _, _ in self.hasher.documents(raw, off) for j in range(len(b) - 1)]
-        rows = [h for _, h in hashed]
+        rows = [h[b[j] : b[j + 1]] for _, h, b, _, _ in hasher.documents(raw, off) for j in range(len(b) - 1)]
         self.vocab = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
-        self.pairs = np.unique(np.concatenate([self._pair(h[:-1], h[1:]) for h in rows])) if rows else np.zeros(0, np.uint64)
+        self.pairs = np.unique(np.concatenate([pair_hashes(h[:-1], h[1:]) for h in rows])) if rows else np.zeros(0, np.uint64)
         ids = [np.searchsorted(self.vocab, h).tolist() for h in rows]
         self.shortest = min([window, *(len(x) for x in ids if x)])
         self.automaton = SuffixAutomaton([(name, x) for (name, _), x in zip(items, ids, strict=True)], window)
 
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(a * np.uint64(3) + b)
-
-    @staticmethod
-    def _within(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(of, x)
-        at[at == len(of)] = 0
-        return at, of[at] == x if len(of) else np.zeros(len(x), bool)
-
-    def documents(self, raw: np.ndarray, off: np.ndarray):
-        """For each text: words, their starts and ends in raw, [(end, length, items)] of windows."""
-        for _, h, bounds, starts, ends in self.hasher.documents(raw, off):
-            at, known = self._within(h, self.vocab)
-            if self.shortest > 1 and len(h):
-                both = np.flatnonzero(known[:-1] & known[1:])
-                link = np.zeros(len(h), bool)  # with the word before
-                link[both[self._within(self._pair(h[both], h[both + 1]), self.pairs)[1]] + 1] = True
-            else:
-                link = known & np.r_[False, known[:-1]] if len(h) else known
-            inner = bounds[(bounds < len(h))]
-            link[inner] = False
-            # runs of words, each linked with the one before
-            run_at = np.flatnonzero(~link)
-            size = np.diff(np.r_[run_at, len(h)])
-            keep = (size >= self.shortest) & known[run_at]
-            run_at, size = run_at[keep], size[keep]
-            of = np.searchsorted(bounds, run_at, "right") - 1
-            found: dict[int, list] = defaultdict(list)
-            for a, n, d in zip(run_at.tolist(), size.tolist(), of.tolist(), strict=True):
-                found[d] += [(a - int(bounds[d]) + e, m, names) for e, m, names in self.automaton.stream(at[a : a + n].tolist())]
-            for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                yield b - a, starts[a:b], ends[a:b], found.get(d, [])
-
-
-def _matchers(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_bytes: int) -> list:
-    """A broadcast list of items for each automaton, each of about ``max_bytes`` of text at most."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // max_bytes))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [spark.sparkContext.broadcast([(r.i, r.t) for r in items.where(part == k).toLocalIterator()]) for k in range(n)]
+    def words(self, h: np.ndarray) -> Iterator[tuple[int, int, frozenset[str]]]:
+        """(end, length, items) of the windows in a run of word hashes."""
+        at, known = _within(h, self.vocab)
+        link = np.r_[False, known[:-1] & known[1:]] if len(h) else known
+        both = np.flatnonzero(link)
+        if self.shortest > 1:
+            link[both[~_within(pair_hashes(h[both - 1], h[both]), self.pairs)[1]]] = False
+        for a, n in _linked_runs(link, known, self.shortest):
+            for e, m, names in self.automaton.stream(at[a : a + n].tolist()):
+                yield a + e, m, names
+
+
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(a * np.uint64(3) + b)
+
+
+def _within(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(of, x)
+    at[at == len(of)] = 0
+    return at, of[at] == x if len(of) else np.zeros(len(x), bool)
+
+
+def _linked_runs(link: np.ndarray, known: np.ndarray, shortest: int) -> list[tuple[int, int]]:
+    """(first word, words) of runs in which each word is linked with the one before it."""
+    at = np.flatnonzero(~link)
+    size = np.diff(np.r_[at, len(link)])
+    keep = (size >= shortest) & known[at]
+    return list(zip(at[keep].tolist(), size[keep].tolist(), strict=True))
+
+
+class PairMap:
+    """Bits for the items' words and neighbouring word pairs, which the runs of all windows are made of."""
+
+    def __init__(self, bits: int, shortest: int):
+        self.bits, self.shortest = np.zeros(bits // 8, np.uint8), shortest
+        self.mask = np.uint64(bits - 1)
+
+    def add(self, words: np.ndarray) -> None:
+        at = np.concatenate([words, pair_hashes(words[:-1], words[1:])]) & self.mask
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _has(self, h: np.ndarray) -> np.ndarray:
+        at = h & self.mask
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def runs(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """(first word, words) of runs that may hold a window; none goes over a bound."""
+        known = self._has(h)
+        link = np.r_[False, known[:-1] & known[1:]] if len(h) else known
+        both = np.flatnonzero(link)
+        link[both[~self._has(pair_hashes(h[both - 1], h[both]))]] = False
+        link[bounds[bounds < len(h)]] = False
+        return _linked_runs(link, known, self.shortest)
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(quoted(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(quoted(text_col), F.lit("")).alias("t"))
+
+
+def _pair_map(items: DataFrame, window: int, bits: int) -> PairMap:
+    """One pass over the items, row by row: what the driver holds is the map."""
+    out = PairMap(bits, window)
+    hasher = WordHasher(ALNUM)
+    for batch in iter(lambda rows=items.select("t").toLocalIterator(): list(islice(rows, 1000)), []):
+        for _, h, b, _, _ in hasher.documents(*string_buffers(pa.array([r.t for r in batch], pa.string()))):
+            for a, z in zip(b[:-1].tolist(), b[1:].tolist(), strict=True):
+                if z > a:
+                    out.shortest = min(out.shortest, z - a)
+                    out.add(h[a:z])
+    return out
 
 
 _BUILT: dict[tuple, Matcher] = {}
@@ -193,32 +224,56 @@ def _spans(found) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_SCHEMA = "__id long, __xx long, n_words long, spans array<struct<from:long,to:long>>, places array<struct<from:long,to:long>>, items array<string>"
+_RUN = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+_RUNS = "array<struct<at:long,words:array<long>,starts:array<long>,ends:array<long>>>"
 _SPAN = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+_SPANS = "array<struct<from:long,to:long>>"
 
 
-def _scan(items, window: int):
-    """Rows (__id, __xx, text) -> words, and what this automaton finds."""
+def _runs_udf(shared):
+    """(id, xx, text) -> words of the text, and its runs: number of the first word, hashes, byte places."""
 
     def run(batches):
-        matcher = _matcher(items, window)
+        pairs, hasher = shared.value, WordHasher(ALNUM)
         for batch in batches:
             raw, off = string_buffers(batch.column(2))
-            n, spans, places, names = [], [], [], []
-            for (words, starts, ends, found), base in zip(matcher.documents(raw, off), off[:-1].tolist(), strict=True):
-                mine = _spans((e - m, e) for e, m, _ in found)
-                n.append(words)
-                spans.append([{"from": a, "to": b} for a, b in mine])
-                places.append([{"from": int(starts[a]) - base, "to": int(ends[b - 1]) - base} for a, b in mine])
-                names.append(sorted({x for _, _, of in found for x in of}))
-            cols = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(spans, _SPAN), pa.array(places, _SPAN), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["__id", "__xx", "n_words", "spans", "places", "items"])
+            count, runs = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+            for i, h, bounds, starts, ends in hasher.documents(raw, off):
+                count[i : i + len(bounds) - 1] = np.diff(bounds)
+                for a, n in pairs.runs(h, bounds):
+                    d = int(np.searchsorted(bounds, a, "right")) - 1
+                    base = int(off[i + d])
+                    runs[i + d].append({"at": a - int(bounds[d]), "words": h[a : a + n].view(np.int64), "starts": starts[a : a + n] - base, "ends": ends[a : a + n] - base})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(count), pa.array(runs, _RUN)], ["id", "xx", "n_words", "runs"])
+
+    return run
+
+
+def _match_udf(items, window: int):
+    """(id, xx, runs) -> what this automaton finds."""
+
+    def run(batches):
+        matcher = _matcher(items, window)
+        for batch in batches:
+            spans, places, names, keep = [], [], [], []
+            for k, runs in enumerate(batch.column(2).to_pylist()):
+                mine, of = [], set()
+                for r in runs:
+                    found = list(matcher.words(np.array(r["words"], np.int64).view(np.uint64)))
+                    of.update(x for _, _, x in found)
+                    mine += [(r, a, b) for a, b in _spans((e - m, e) for e, m, _ in found)]
+                if mine:
+                    keep.append(k)
+                    spans.append([{"from": r["at"] + a, "to": r["at"] + b} for r, a, b in mine])
+                    places.append([{"from": r["starts"][a], "to": r["ends"][b - 1]} for r, a, b in mine])
+                    names.append(sorted(frozenset().union(*of)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]), pa.array(spans, _SPAN), pa.array(places, _SPAN), pa.array(names, pa.list_(pa.string()))], ["id", "xx", "spans", "places", "items"])
 
     return run
 
 
 def _merge_found(batches):
-    """(__id, __xx, spans, places, items), all automata's one after the other -> the same, merged."""
+    """(id, xx, spans, places, items), all automata's one after the other -> the same, merged."""
     for batch in batches:
         spans, places, names = [], [], []
         for s, p, i in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
@@ -231,37 +286,42 @@ def _merge_found(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, _SPAN), pa.array(places, _SPAN), pa.array(names, pa.list_(pa.string()))], ["h_id", "h_xx", "spans", "places", "items"])
 
 
-def _found_by_all(src: DataFrame, automata: list, window: int) -> DataFrame:
-    """What several automata find: a job for each, then one row per document again."""
-    path = shared_dir(src.sparkSession)
-    parts = []
-    for k, items in enumerate(automata):
-        part = src.mapInArrow(_scan(items, window), _SCHEMA)
-        parts.append(written(part if k == 0 else part.where("size(items) > 0"), f"{path}/found-{k}"))
-    every, found = parts[0].select("__id", "__xx", "n_words"), None
-    for part in parts:
-        # repeated rows of one id and text have equal hits
-        part = part.where("size(items) > 0").dropDuplicates(["__id", "__xx"])
-        found = part if found is None else found.unionByName(part)
-    # as many as a text has windows at most, for each automaton
-    lists = [F.flatten(F.collect_list(F.struct("spans", "places", "items"))[c]).alias(c) for c in ("spans", "places", "items")]
-    found = found.groupBy("__id", "__xx").agg(*lists).mapInArrow(_merge_found, _SCHEMA.replace("__", "h_").replace("n_words long, ", ""))
-    both = every.join(found, F.col("__id").eqNullSafe(F.col("h_id")) & F.col("__xx").eqNullSafe(F.col("h_xx")), "left")
-    return both.select("__id", "__xx", "n_words", *[F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "places", "items")])
-
-
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, max_automaton_bytes: int = 2 << 20) -> DataFrame:
-    """One row per document: __id, __xx, n_words, n_hit, spans (word ranges), places (UTF-8 byte ranges), items.
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, max_automaton_bytes: int = 2 << 20, max_map_bits: int = 1 << 28) -> DataFrame:
+    """One row per document: id, xx (hash of the text), n_words, n_hit, spans (word ranges), places (UTF-8 byte ranges), items.
 
     Words are ASCII letters and digits (A-Z lower-cased) and all non-ASCII
-    characters.  Null and empty texts have no words and no hits; null item ids
-    count as the empty string.  ``items`` has the ids whose windows occur.
+    characters, malformed bytes among them.  Null and empty texts have no words
+    and no hits; null item ids count as the empty string.  ``items`` has the ids
+    whose windows occur.  Repeated rows of one id and text have equal hits.
+
+    The map has 64 bits for each byte of the items, ``max_map_bits`` at most: more
+    items set more of them, and more runs go to the automata, of ``max_automaton_bytes``
+    of items each.  Neither changes the result.
     """
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__xx"), F.col(f"`{text_col}`").alias("__text"))
-    automata = _matchers(benchmark, item_col, item_text_col, window, max_automaton_bytes)
-    out = src.mapInArrow(_scan(automata[0], window), _SCHEMA) if len(automata) == 1 else _found_by_all(src, automata, window)
+    spark = docs.sparkSession
+    path = shared_dir(spark)
+    items = _items(benchmark, item_col, item_text_col)
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    pairs = _pair_map(items, window, min(max_map_bits, 1 << max(16, (64 * total).bit_length())))
+    src = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(quoted(text_col)).alias("xx"), quoted(text_col).alias("text"))
+    every = written(src.mapInArrow(_runs_udf(spark.sparkContext.broadcast(pairs)), f"id long, xx long, n_words long, runs {_RUNS}"), f"{path}/runs")
+
+    runs = every.where("size(runs) > 0").select("id", "xx", "runs")
+    n = max(1, -(-total // max_automaton_bytes))
+    part, paths = F.pmod(F.xxhash64("i", "t"), F.lit(n)), []
+    for k in range(n):
+        mine = spark.sparkContext.broadcast([(r.i, r.t) for r in (items if n == 1 else items.where(part == k)).toLocalIterator()])
+        paths.append(f"{path}/found-{k}")
+        written(runs.mapInArrow(_match_udf(mine, window), f"id long, xx long, spans {_SPANS}, places {_SPANS}, items array<string>"), paths[-1])
+        mine.destroy()
+    found = spark.read.schema(f"id long, xx long, spans {_SPANS}, places {_SPANS}, items array<string>").parquet(*paths)
+    # as many as a text has windows at most, for each automaton
+    lists = [F.flatten(F.collect_list(F.struct("spans", "places", "items"))[c]).alias(c) for c in ("spans", "places", "items")]
+    found = found.groupBy("id", "xx").agg(*lists).mapInArrow(_merge_found, f"h_id long, h_xx long, spans {_SPANS}, places {_SPANS}, items array<string>")
+    both = every.select("id", "xx", "n_words").join(found, F.col("id").eqNullSafe(F.col("h_id")) & F.col("xx").eqNullSafe(F.col("h_xx")), "left")
+    filled = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "places", "items")]
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
-    return out.select("__id", "__xx", "n_words", hit.alias("n_hit"), "spans", "places", "items")
+    return both.select("id", "xx", "n_words", *filled).select("id", "xx", "n_words", hit.alias("n_hit"), "spans", "places", "items")
 
 
 def contaminated(n_words, n_hit, percent: int = 5):
@@ -272,7 +332,7 @@ def contaminated(n_words, n_hit, percent: int = 5):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, **how) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay as they were."""
     hits = benchmark_hits(docs, benchmark, id_col, text_col, **how)
-    gone = hits.where(contaminated(F.col("n_words"), F.col("n_hit"), percent)).select("__id", "__xx").distinct()
+    gone = hits.where(contaminated(F.col("n_words"), F.col("n_hit"), percent)).select("id", "xx").distinct()
     return without_rows(docs, written(gone, f"{shared_dir(docs.sparkSession)}/gone"), id_col, text_col)
 
 
@@ -281,9 +341,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document more than ``max_coverage`` of which is hit is ``dropped``: its text is null.
     """
-    hits = benchmark_hits(docs, benchmark, id_col, text_col, **how).where("n_hit > 0").dropDuplicates(["__id", "__xx"])
-    hits = written(hits, f"{shared_dir(docs.sparkSession)}/hits").select(F.col("__id").alias("h_id"), F.col("__xx").alias("h_xx"), "n_words", "n_hit", "spans", "places")
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("xx"))
+    hits = benchmark_hits(docs, benchmark, id_col, text_col, **how).where("n_hit > 0").dropDuplicates(["id", "xx"])
+    hits = written(hits, f"{shared_dir(docs.sparkSession)}/hits").select(F.col("id").alias("h_id"), F.col("xx").alias("h_xx"), "n_words", "n_hit", "spans", "places")
+    src = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("xx"))
     both = src.join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("xx") == F.col("h_xx")), "left")
     long_ = F.filter(F.zip_with("spans", "places", lambda s, p: F.struct((s["to"] - s["from"]).alias("n"), p["from"].alias("from"), p["to"].alias("to"))), lambda x: x["n"] >= min_span)
     raw = F.encode("text", "UTF-8")

@@ -41,7 +41,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
     return hits.select(
-        F.col("__id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_words"), F.col("n_hit"), percent=5).alias("contaminated"))
 
 
@@ -61,7 +61,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     profiles = language.learn(docs.where(~held_out))
     found = language.predict(docs, profiles, [F.col("doc_id"), held_out.alias("held_out")])
-    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
