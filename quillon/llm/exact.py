@@ -7,7 +7,8 @@ straight through in pass two.  A repeated digest is never missed.
 
 The filter that reaches the driver and each executor has at most
 ``max_filter_bits`` bits whatever the input.  Where the rows ask for more, the
-digests are written in ranges, and each range has a filter of its own.
+digests are written in ranges, and each range has a filter of its own, which
+is given up before the next is made.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import LOWER, UPPER, shared_dir, string_buffers, without_rows, written
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_TESTED = "sha binary, __id long, __xx long, __row long, maybe boolean"
 _SEGMENT = 16  # bits of a position within its segment
 
 
@@ -108,8 +110,8 @@ def _test_udf(bits: int, filter_):
     return run
 
 
-def _possibly_repeated(digests: DataFrame, bits: int) -> DataFrame:
-    """Adds ``maybe``: False only where the digest is certain to be unique."""
+def _tested(digests: DataFrame, bits: int, path: str) -> str:
+    """Write ``digests`` with ``maybe``, false only where the digest is certain to be unique; the filter goes when that is done."""
     parts = digests.select("sha").mapInArrow(_count_udf(bits), "segment long, once binary, more binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, "segment long, bitmap binary")
     bitmap = np.zeros(bits // 8, np.uint8)
@@ -117,7 +119,9 @@ def _possibly_repeated(digests: DataFrame, bits: int) -> DataFrame:
     for r in merged.toLocalIterator():  # bits / 8 bytes at most in all
         bitmap[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bitmap, np.uint8)
     filter_ = digests.sparkSession.sparkContext.broadcast(bitmap)
-    return digests.select("sha", "__id", "__xx", "__row").mapInArrow(_test_udf(bits, filter_), "sha binary, __id long, __xx long, __row long, maybe boolean")
+    written(digests.select("sha", "__id", "__xx", "__row").mapInArrow(_test_udf(bits, filter_), _TESTED), path)
+    filter_.destroy()
+    return path
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 28) -> DataFrame:
@@ -133,11 +137,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = -(-rows * bits_per_row // bits) if rows * bits_per_row > bits else 1
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.xxhash64(F.col(f"`{text_col}`")).alias("__xx"), F.monotonically_increasing_id().alias("__row"))
     digests = written(src.mapInArrow(_digest_udf(ranges), "__id long, __xx long, __row long, sha binary, range int"), f"{path}/digests", "range" if ranges > 1 else None)
-    tested = None
-    for i in range(ranges):
-        part = _possibly_repeated(digests.where(F.col("range") == i) if ranges > 1 else digests, bits)
-        tested = part if tested is None else tested.unionByName(part)
-    tested = written(tested, f"{path}/tested")
+    # one range after the other: one filter lives at a time, and one scan reads what all have written
+    paths = [_tested(digests.where(F.col("range") == i) if ranges > 1 else digests, bits, f"{path}/tested-{i}") for i in range(ranges)]
+    tested = docs.sparkSession.read.schema(_TESTED).parquet(*paths)
 
     alone = tested.where("not maybe").select("__id", "__xx", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lit(True).alias("first"), "sha")
     maybe = tested.where("maybe")
@@ -160,6 +162,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if again.isEmpty():
         return without_rows(docs, gone, id_col, text_col)
     once = without_rows(docs, gone.unionByName(again), id_col, text_col)
-    at = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__xx"))
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    return once.unionByName(docs.join(again, at, "left_semi").select(*names).dropDuplicates([id_col, text_col]))
+    return once.union(without_rows(docs, again, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))
