@@ -32,7 +32,7 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, path: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long) but for the roots; root is the smallest node reached.
 
     Each round makes a large star and a small star of every node and is
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> D
     e = e.where("u is not null and v is not null and u <> v").mapInArrow(_forest, "u long, v long")
     e = written(e.distinct(), f"{path}/cc-{uuid.uuid4().hex}")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -58,4 +58,3 @@ def connected_components(edges: DataFrame, path: str, max_rounds: int = 60) -> D
         small = large.join(low, F.bitwise_not(large["u"]) == low["w"])
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         e = written(small.where("u <> v").distinct(), f"{path}/cc-{uuid.uuid4().hex}")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -318,8 +318,10 @@ def near_duplicates(
 
     parts = _blocks(F.count("*"), F.sum("n"), part_rows, part_shingles)
     pivots = F.array(*(F.min_by("__row", F.xxhash64("__row", F.lit(k))) for k in range(PIVOTS)))
-    dealt = info.groupBy("comp").agg(parts.alias("parts"), pivots.alias("pivots")).withColumnRenamed("comp", "c")
-    info = info.join(dealt, F.col("comp") == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", F.array_contains("pivots", F.col("__row")).alias("pivot"))
+    # other keys than the aggregate's give each side an exchange of its own: a large component can be split
+    own = F.bitwise_not("comp")
+    dealt = info.groupBy("comp").agg(parts.alias("parts"), pivots.alias("pivots")).withColumn("c", own).drop("comp")
+    info = info.join(dealt, own == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", F.array_contains("pivots", F.col("__row")).alias("pivot"))
     info = written(info, f"{path}/parts")
     one_part = F.array(F.pmod(F.xxhash64("__row"), F.col("parts")))
     # members grow with the documents and are not to be broadcast; what is apart is few rows, where Spark's size check decides
@@ -329,19 +331,19 @@ def near_duplicates(
     label = info.where("parts > 1").join(split, F.col("__row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "__row"))
     label = written(label.select("__row", "__id", "__xx", "n", "comp", "parts", "label"), f"{path}/labels")
     sizes = label.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp")
-    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").withColumnRenamed("comp", "c")
-    apart = label.join(sizes, F.col("comp") == F.col("c")).withColumn("rest", F.col("label") != F.col("largest"))
+    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").withColumn("c", own).drop("comp")
+    apart = label.join(sizes, own == F.col("c")).withColumn("rest", F.col("label") != F.col("largest"))
     apart = written(apart.select("__row", "__id", "__xx", "n", "comp", "parts", "rest"), f"{path}/apart")
     if not apart.isEmpty():
         rest, large = F.col("rest"), ~F.col("rest")
         nr, nl = (_blocks(F.count_if(x), F.sum(F.when(x, F.col("n")).otherwise(0)), block_rows, block_shingles) for x in (rest, large))
-        blocks = apart.groupBy("comp").agg(nr.alias("nr"), nl.alias("nl")).withColumnRenamed("comp", "c")
-        apart = apart.join(blocks, F.col("comp") == F.col("c")).withColumn("blk", F.pmod(F.xxhash64("__row"), F.when(rest, F.col("nr")).otherwise(F.col("nl"))))
+        blocks = apart.groupBy("comp").agg(nr.alias("nr"), nl.alias("nl")).withColumn("c", own).drop("comp")
+        apart = apart.join(blocks, own == F.col("c")).withColumn("blk", F.pmod(F.xxhash64("__row"), F.when(rest, F.col("nr")).otherwise(F.col("nl"))))
         # tile (i, j): block i of the rest with block j of the rest, or with block j - nr of the largest group
-        own = "transform(sequence(0L, nr - 1), o -> least(blk, o) * (nr + nl) + greatest(blk, o))"
+        with_rest = "transform(sequence(0L, nr - 1), o -> least(blk, o) * (nr + nl) + greatest(blk, o))"
         others = "transform(sequence(0L, nl - 1), j -> blk * (nr + nl) + nr + j)"
         large_in = "transform(sequence(0L, nr - 1), i -> i * (nr + nl) + nr + blk)"
-        more = links_of(apart.withColumn("tiles", F.expr(f"if(rest, concat({own}, {others}), {large_in})")), "more_links")
+        more = links_of(apart.withColumn("tiles", F.expr(f"if(rest, concat({with_rest}, {others}), {large_in})")), "more_links")
         split = connected_components(more.select("a", "b").unionByName(split.select(F.col("node").alias("a"), F.col("root").alias("b"))), path)
     root = links.where("parts = 1").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct().unionByName(split)
 
@@ -349,8 +351,8 @@ def near_duplicates(
     all_ = sig.select("__id", "__xx", "__row", "n", "key").join(copies, F.col("key") == F.col("k"), "left").withColumn("rep", F.coalesce("rep", "__row"))
     all_ = all_.join(root, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("root", "rep"))
     all_ = written(all_.select("__id", "__xx", "n", "group"), f"{path}/groups")
-    ids = all_.groupBy("group").agg(F.min("__id").alias("component_id"), F.count("*").alias("c")).where("c > 1").select((F.col("group") + F.lit(0)).alias("g"), "component_id")
-    out = all_.join(ids, F.col("group") == F.col("g"), "left")
+    ids = all_.groupBy("group").agg(F.min("__id").alias("component_id"), F.count("*").alias("c")).where("c > 1").select(F.bitwise_not("group").alias("g"), "component_id")
+    out = all_.join(ids, F.bitwise_not("group") == F.col("g"), "left")
     out = out.withColumn("component_id", F.when(F.col("g").isNull(), F.col("__id")).otherwise(F.col("component_id")))
     return out.select("__id", "__xx", F.col("n").alias("n_shingles"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
 
