@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import read_texts, shared_dir, written
+from quillon.llm.common import arrow_uri, filesystem, quoted, read_texts, shared_dir, written
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -54,6 +54,8 @@ _ROOT_WORDS = frozenset("article post entry story content main".split())
 #: Stands for marks and article elements among what can be deleted: hosts with few pages ask for them.
 FEW = 1
 _OUTSIDE, _MARKED = 1, 2
+#: A row's number holds its task's above so many bits.
+_ROW_BITS = 33
 
 
 class _Node:
@@ -303,16 +305,42 @@ def kept_blocks(blocks: list[dict], nodes: list[dict], gone: set[int]) -> list[s
     return [b["text"] for b in blocks if not (b["at"] >= 0 and dead[b["at"]]) and not (few and b["flag"])]
 
 
-def _cut_udf(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            kept, n = [], []
-            for blocks, nodes, gone in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                found = kept_blocks(blocks, nodes, set(gone)) if gone else [b["text"] for b in blocks]
-                kept.append("\n".join(found))
-                n.append(len(blocks) - len(found))
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(kept, pa.string()), pa.array([len(t) for t in kept], pa.int64()), pa.array(n, pa.int64())], ["id", "url", "text", "n_chars", "n_deleted"])
+def _deletions(fs, folder: str, part: int) -> dict[int, set[int]]:
+    """By row what goes from the pages that task ``part`` has parsed: no more than it parsed."""
+    from pyarrow import dataset
+    from pyarrow.fs import FileType
+
+    folder = f"{folder}/part={part}"
+    if fs.get_file_info(folder).type == FileType.NotFound:
+        return {}
+    found: dict[int, set[int]] = {}
+    table = dataset.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["row", "h"])
+    for row, h in zip(table["row"].to_pylist(), table["h"].to_pylist(), strict=True):
+        found.setdefault(row, set()).add(h)
+    return found
+
+
+def _cut_udf(uri: str):
+    """(id, url, row, blocks, nodes) -> texts."""
+
+    def run(batches):
+        fs, folder = filesystem(uri)
+        part, known = -1, {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                piece = batch.slice(at, 2000)
+                kept, n = [], []
+                for row, blocks, nodes in zip(*(piece.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    if row >> _ROW_BITS != part:
+                        part = row >> _ROW_BITS
+                        known = _deletions(fs, folder, part)
+                    gone = known.get(row)
+                    found = kept_blocks(blocks, nodes, gone) if gone else [b["text"] for b in blocks]
+                    kept.append("\n".join(found))
+                    n.append(len(blocks) - len(found))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(kept, pa.string()), pa.array([len(t) for t in kept], pa.int64()), pa.array(n, pa.int64())], ["id", "url", "text", "n_chars", "n_deleted"])
+
+    return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 4, min_share: float = 0.1, own_share: float = 0.5, enough_pages: int = 50, slot_share: float = 0.25) -> DataFrame:
@@ -331,13 +359,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     fewer pages text outside of article elements (else main, else what is named
     so) goes, and what is marked by class, id or role.
 
+    What goes from the pages of a task is written to a folder of its own, which
+    the task that reads their blocks reads too; so the texts are never shuffled.
+
     Null html counts as empty, malformed UTF-8 as U+FFFD; a page without main
     text has the empty string; a null or odd url puts the page in a host of its
     own kind; repeated rows are pages of equal text.  White space in a block is
     one blank, blocks are joined by a line break.
     """
     path = shared_dir(pages.sparkSession)
-    src = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    arrow_uri(path)
+    src = pages.select(quoted(id_col).cast("long").alias("id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"))
     parsed = src.mapInArrow(_parse_udf, f"id long, url string, blocks {_BLOCKS}, nodes {_NODES}, sign long")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     parsed = written(parsed.withColumn("host", F.xxhash64(host)).withColumn("row", F.monotonically_increasing_id()), f"{path}/parsed")
@@ -358,7 +390,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     keys = F.array_distinct(F.concat(F.transform("nodes", lambda n: n["h"]), F.transform("nodes", lambda n: n["slot"]), F.when(F.exists("blocks", lambda b: b["flag"] != 0), F.array(F.lit(FEW).cast("long"))).otherwise(F.array().cast("array<long>"))))
     asked = parsed.select("row", "host", F.explode(F.array_remove(keys, 0)).alias("h"))
     hit = asked.join(template, (F.col("host") == F.col("t_host")) & (F.col("h") == F.col("t_h")), "left_semi")
-    hit = hit.groupBy(F.col("row").alias("h_row")).agg(F.collect_set("h").alias("gone"))  # as many as the page has subtrees at most
-    both = parsed.select("row", "id", "url", "blocks", "nodes").join(hit, F.col("row") == F.col("h_row"), "left")
+    # the texts don't move: a task that reads them reads the deletions of their rows as well
+    hit = hit.select("row", "h", F.shiftright("row", _ROW_BITS).alias("part")).repartition("part").sortWithinPartitions("part", "row")
+    written(hit, f"{path}/deletions", "part")
     slim = F.transform("nodes", lambda n: F.struct(n["h"].alias("h"), n["slot"].alias("slot"), n["up"].alias("up"))).alias("nodes")
-    return both.select("id", "url", "blocks", slim, "gone").mapInArrow(_cut_udf, "id long, url string, text string, n_chars long, n_deleted long")
+    return parsed.select("id", "url", "row", "blocks", slim).mapInArrow(_cut_udf(f"{path}/deletions"), "id long, url string, text string, n_chars long, n_deleted long")

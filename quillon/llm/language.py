@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import fresh, quoted, read_texts
+
 DIM = 1024
 UNDETERMINED = "und"
 #: Characters of texts that are worked on together; letters and trigrams in the tables of a worker.
@@ -148,7 +150,7 @@ def _count_udf(batches):
 
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for i, (rows, extra) in b.counted(batch.column(0).to_pylist()):
+        for i, (rows, extra) in b.counted(read_texts(batch.column(0))):
             lang = langs[i]
             if lang not in sums:
                 sums[lang] = np.zeros(TABLE_ROWS, np.int64)
@@ -210,7 +212,7 @@ def _predict_udf(profiles, names: list[str]):
             vecs = np.zeros((batch.num_rows, 0 if not p.langs else len(p.langs)))
             norms, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             open_: dict[int, np.ndarray] = {}  # bundles of texts that come in pieces
-            for i, (rows, extra) in b.counted(batch.column(0).to_pylist()):
+            for i, (rows, extra) in b.counted(read_texts(batch.column(0))):
                 n = np.bincount(rows)
                 at = np.flatnonzero(n)
                 v = n[at].astype(np.float32) @ b.table[at]
@@ -227,24 +229,28 @@ def _predict_udf(profiles, names: list[str]):
             best = cos.argmax(axis=1) if p.langs else np.zeros(batch.num_rows, int)
             langs = [p.langs[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), sure.tolist(), strict=True)]
             scores = [min(1.0, max(0.0, round(float(c[k]), 6))) if ok else 0.0 for c, k, ok in zip(cos, best.tolist(), sure.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return run
 
 
-def predict(docs: DataFrame, profiles: Profiles, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, __lang and __score (the cosine, 0 to 1) for every row; only the text decides.
+def predict(docs: DataFrame, profiles: Profiles, keep: list[Column], text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """The columns ``keep``, the language and its score (the cosine, 0 to 1) for every row; only the text decides.
 
     Null texts and texts without a letter are "und" with score 0, as is every
-    text when nothing was learned.  Of equal cosines the first language by name wins.
+    text when nothing was learned.  Malformed UTF-8 counts as U+FFFD.  Of equal
+    cosines the first language by name wins.  Each row is read for itself,
+    repeated ones and those without an id too.
     """
-    src = docs.select(F.col(f"`{text_col}`").alias("__in"), *keep)
+    kept = docs.select(*keep)
+    src = docs.select(quoted(text_col).alias(fresh(kept, "read")[0]), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]), "__lang string", "__score double"])
-    return src.mapInArrow(_predict_udf(shared, src.columns[1:]), schema)
+    fields = ["`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in src.schema.fields[1:]]
+    return src.mapInArrow(_predict_udf(shared, [*src.columns[1:], lang_name, score_name]), ", ".join([*fields, f"{lang_name} string", f"{score_name} double"]))
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """``docs`` without rows of no determined language, or whose cosine is under ``min_score``; all columns stay as they were."""
-    found = predict(docs, profiles, [F.col(f"`{n}`") for n in docs.columns], text_col)
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).drop("__lang", "__score")
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, profiles, list(map(quoted, docs.columns)), text_col, lang, score)
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(lang, score)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import read_texts, shared_dir, written
+from quillon.llm.common import arrow_uri, filesystem, read_texts, shared_dir, written
 
 #: Lines of an index block; bytes between two records that are still read over; bytes of a read.
 BLOCK_LINES, GAP, READ = 1000, 1 << 16, 8 << 20
@@ -51,22 +51,6 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + port + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
 
 
-def arrow_uri(uri: str) -> str:
-    """The name that Arrow has for a folder in Spark's words; what it can't open raises ValueError."""
-    scheme, _, rest = uri.partition(":")
-    name = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}.get(scheme) if rest else None
-    if name is None:
-        raise ValueError(f"archives can't be written to the file system of {uri}")
-    return f"{name}://{rest.lstrip('/')}" if name != "file" else "file:///" + rest.lstrip("/")
-
-
-def filesystem(uri: str):
-    """(Arrow's file system, path)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(arrow_uri(uri))
-
-
 def _header(value: str | None) -> str:
     return " ".join((value or "").split())
 

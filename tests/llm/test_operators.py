@@ -15,7 +15,7 @@ from compare import database, same
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quillon.llm import components, decontaminate, encoding, exact, html_text, language, minhash, queries, repeats, sharding, token_counts, warc, words
+from quillon.llm import common, components, decontaminate, encoding, exact, html_text, language, minhash, queries, repeats, sharding, token_counts, warc, words
 from quillon.llm.bpe import WordBpe, read_vocabulary
 from quillon.llm.common import string_buffers
 
@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, text string"
 def edges(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names the operators use."""
     df = spark.createDataFrame(EDGES, SCHEMA)
-    return df.select("*", *[F.lit(7).alias(c) for c in ("size", "shard", "n", "row", "key", "range", "lang", "sha", "tokens")])
+    return df.select("*", *[F.lit(7).alias(c) for c in ("size", "shard", "n", "row", "key", "range", "lang", "sha", "tokens", "__id", "__xx", "__lang", "__left0", "own_id", "GONE_ID", "gone_xx", "Lang_Pred", "score", "id", "xx", "a`b", "c.d")])
 
 
 @pytest.fixture(scope="module")
@@ -162,15 +162,15 @@ def test_shards(spark, edges, empty):
     assert sum(r.b for r in got) == 5000 * 16 + 2 * sum(i % 50 for i in range(5000))
 
 
-@pytest.mark.parametrize("size", [16 << 20, 60])
-def test_decontaminate(spark, edges, empty, size):
+@pytest.mark.parametrize(("size", "bits"), [(16 << 20, 1 << 28), (60, 1 << 28), (60, 64)])
+def test_decontaminate(spark, edges, empty, size, bits):
     bench = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(20))), (2, "Seven, eight; NINE!"), (3, None), (4, ""), (5, "中文"), (None, "words long words")], "item_id long, text string")
     docs = edges.select("doc_id", "text").unionByName(spark.createDataFrame([(20, " ".join(["x"] * 300 + [f"t{i}" for i in range(3, 18)])), (21, " ".join(f"t{i}" for i in range(12)))], SCHEMA))
-    rows = {r["__id"]: r for r in decontaminate.benchmark_hits(docs, bench, max_automaton_bytes=size).collect()}
+    rows = {r["id"]: r for r in decontaminate.benchmark_hits(docs, bench, max_automaton_bytes=size, max_map_bits=bits).collect()}
     assert (rows[1].n_words, rows[1].n_hit, rows[1]["items"]) == (9, 3, ["2"]) and rows[2].n_words == rows[3].n_words == 0
     assert rows[20].n_hit == 15 and rows[20]["items"] == ["1"] and rows[21].n_hit == 0 and rows[9]["items"] == ["5"] and rows[9].n_hit == 1
     assert rows[7].n_hit == 59999 and rows[7]["items"] == [""]
-    left = decontaminate.drop_contaminated(docs, bench, max_automaton_bytes=size)
+    left = decontaminate.drop_contaminated(docs, bench, max_automaton_bytes=size, max_map_bits=bits)
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 6, 10, 20, 21]
     cut = {r.id: r for r in decontaminate.remove_spans(docs, bench, min_span=13, max_coverage=0.5).collect()}
     assert cut[20].n_removed == 15 and cut[20].text.strip() == " ".join(["x"] * 300) and cut[7].dropped and cut[7].text is None and cut[21].text.endswith("t11")
@@ -252,11 +252,11 @@ def test_language(spark, edges, empty):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     p = language.learn(docs.where(~held))
     got = language.predict(docs.where(held), p, [F.col("lang")]).collect()
-    assert sum(r.lang == r["__lang"] for r in got) >= 0.95 * len(got)
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
     rows = {r.doc_id: r for r in language.predict(edges, p, [F.col("doc_id")]).collect()}
-    assert all(rows[i]["__lang"] == "und" and rows[i]["__score"] == 0 for i in (2, 3, 4, 5)) and rows[1]["__lang"] == "en" and 0 < rows[9]["__score"] <= 1
+    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (2, 3, 4, 5)) and rows[1].lang_pred == "en" and 0 < rows[9].score <= 1
     nothing = language.learn(empty.withColumn("lang", F.lit("x")))
-    assert {r["__lang"] for r in language.predict(edges, nothing, [F.col("doc_id")]).collect()} == {"und"}
+    assert {r.lang_pred for r in language.predict(edges, nothing, [F.col("doc_id")]).collect()} == {"und"}
     assert language.predict(empty, p, [F.col("doc_id")]).count() == 0
     with pytest.raises(ValueError, match="languages"):
         language.learn(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"), max_languages=1)
@@ -515,8 +515,8 @@ def test_archive(spark, monkeypatch):
     assert n == a.tasks >= 4
     for uri in ("dbfs:/x", "wasbs://a@b/c", "oddfs://x/y"):
         with pytest.raises(ValueError, match="file system"):
-            warc.filesystem(uri)
-    assert warc.arrow_uri("s3a://b/k") == "s3://b/k" and warc.arrow_uri("file:/x/y") == "file:///x/y"
+            common.filesystem(uri)
+    assert common.arrow_uri("s3a://b/k") == "s3://b/k" and common.arrow_uri("file:/x/y") == "file:///x/y"
     assert warc.url_key("http://www.Example.com:80/a?b") == "com,example,www)/a?b" and warc.url_key("https://e.org:8443") == "org,e:8443)/"
 
 
