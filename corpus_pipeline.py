@@ -12,33 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, encoding, exact, language, minhash
-from quillon.llm.common import shared_dir, written
+from quillon.storage import scratch, shared_dir, written
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn profiles from all rows with a language; texts without a letter go."""
+    """Learn profiles from all rows with a language; null texts and texts without a letter go.
+
+    All stages but the last keep rows with null ids, extra columns and repeated
+    rows as they are unless they say otherwise; an empty table gives an empty one.
+    """
     return language.keep_known(docs, language.learn(docs))
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for A-Z and a-z the one with the largest id stays."""
+    """Of texts that are equal but for A-Z and a-z the one with the largest id stays; null ids rank lowest, of repeated rows one stays."""
     return exact.drop_exact_duplicates(docs)
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by 0.8 of their shingles of five words the one with the smallest id stays."""
+    """Of texts linked by 0.8 of their shingles of five words the one with the smallest id stays; null texts, and null ids linked with no other, stay."""
     return minhash.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts a twentieth of whose words or more are in passages of 13 words of the benchmark go."""
+    """Texts a twentieth of whose words or more are in passages of 13 words of the benchmark go; null texts stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=5, window=13)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, and digests of the ids and of the text decoded from them, for every row; null texts have no tokens."""
     return encoding.encoding_digests(docs, public_tokenizers.path(VOCABULARY)).withColumnRenamed("__id", "doc_id")
 
 
@@ -52,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = shared_dir(spark)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"{path}/{name}")
+        with scratch(spark):  # what a stage has written on its way goes
+            docs = written(stage(spark, docs, sf_dir), f"{path}/{name}")
     return docs
