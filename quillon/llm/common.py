@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.arrow import read_texts, string_buffers
 from quillon.storage import shared_dir, written
 
 __all__ = ["LOWER", "UPPER", "arrow_uri", "filesystem", "fresh", "quoted", "read_texts", "shared_dir", "string_buffers", "utf8_array", "without_rows", "written"]
@@ -32,26 +31,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
-def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column without a copy of the bytes; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    n = len(column)
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw, off
-
-
-def read_texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """The texts of a column: null is empty, malformed UTF-8 becomes U+FFFD."""
-    try:
-        return pc.fill_null(column, "").to_pylist()
-    except UnicodeDecodeError:
-        return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
-
-
 def utf8_array(texts: list[bytes | None]) -> pa.Array:
     """Bytes as a string column; what is malformed stays as it is."""
     return pa.array(texts, pa.binary()).view(pa.string())

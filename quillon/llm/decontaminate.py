@@ -29,23 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.automaton import Automaton
 from quillon.llm.common import quoted, shared_dir, string_buffers, without_rows, written
 from quillon.llm.words import ALNUM, WordHasher, mix
 
 
-class SuffixAutomaton:
+class SuffixAutomaton(Automaton):
     """Every run of words of the items, with the items of each window."""
 
     def __init__(self, items: list[tuple[str, list[int]]], window: int):
+        super().__init__()
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
         ends: dict[int, set[str]] = defaultdict(set)
         last_of: dict[str, tuple[int, int]] = {}
         for name, words in items:
             at = 0
             for w in words:
-                at = self._extend(at, w)
+                at = self.extend(at, w)
                 ends[at].add(name)
         for name, words in items:  # states are final now: an item's own state may have been split off
             at = 0
@@ -70,32 +70,6 @@ class SuffixAutomaton:
                 self.at_window[s] = s if self.len[up] < window else self.at_window[up]
             self.short[s] = self.short[up] + tuple((n, frozenset(names)) for n, names in short[s].items()) if s in short else self.short[up]
 
-    def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._split(last, w, q)
-        new = len(length)
-        nxt.append({}), link.append(0), length.append(length[last] + 1)
-        p = last
-        while p != -1 and w not in nxt[p]:
-            nxt[p][w] = new
-            p = link[p]
-        if p != -1:
-            q = nxt[p][w]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, w, q)
-        return new
-
-    def _split(self, p: int, w: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        clone = len(length)
-        nxt.append(dict(nxt[q])), link.append(link[q]), length.append(length[p] + 1)
-        link[q] = clone
-        while p != -1 and nxt[p].get(w) == q:
-            nxt[p][w] = clone
-            p = link[p]
-        return clone
-
     def stream(self, words: list[int]):
         """(end, length, items) of each window that occurs; end is the index after its last word."""
         state = length = 0

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.automaton import Automaton
 from quillon.llm.bpe import FINAL, NO_TOKEN, Memo, WordBpe, read_vocabulary, vocabulary
 from quillon.llm.common import read_texts
 
@@ -28,14 +29,13 @@ class TokenAutomaton:
     """Suffix automaton of all tokens; transitions in one table keyed by state and symbol."""
 
     def __init__(self, bpe: WordBpe):
-        self.step: dict[int, int] = {}
-        out: list[list[int]] = [[]]  # symbols that leave a state
-        self.link, self.len = [-1], [0]
+        runs = Automaton()
         for symbols in bpe.symbols.values():
             at = 0
             for s in symbols:
-                at = self._extend(out, at, s)
-        del out
+                at = runs.extend(at, s)
+        self.link, self.len = runs.link, runs.len
+        self.step = {state << 9 | s: to for state, nxt in enumerate(runs.next) for s, to in nxt.items()}
         token_at: dict[int, list[tuple[int, int]]] = {}
         for t, symbols in bpe.symbols.items():
             at = 0
@@ -48,35 +48,6 @@ class TokenAutomaton:
             up = self.tokens[self.link[s]]
             self.tokens[s] = (*sorted(token_at[s], reverse=True), *up) if s in token_at else up
 
-    def _extend(self, out: list[list[int]], last: int, s: int) -> int:
-        step, link, length = self.step, self.link, self.len
-        q = step.get(last << 9 | s)
-        if q is not None:
-            return q if length[q] == length[last] + 1 else self._split(out, last, s, q)
-        new = len(length)
-        out.append([]), link.append(0), length.append(length[last] + 1)
-        p = last
-        while p != -1 and (p << 9 | s) not in step:
-            step[p << 9 | s] = new
-            out[p].append(s)
-            p = link[p]
-        if p != -1:
-            q = step[p << 9 | s]
-            link[new] = q if length[q] == length[p] + 1 else self._split(out, p, s, q)
-        return new
-
-    def _split(self, out: list[list[int]], p: int, s: int, q: int) -> int:
-        step, link, length = self.step, self.link, self.len
-        clone = len(length)
-        out.append(list(out[q])), link.append(link[q]), length.append(length[p] + 1)
-        for x in out[q]:
-            step[clone << 9 | x] = step[q << 9 | x]
-        link[q] = clone
-        while p != -1 and step.get(p << 9 | s) == q:
-            step[p << 9 | s] = clone
-            p = link[p]
-        return clone
-
 
 class Encoder:
     """text -> ids, and ids -> text."""

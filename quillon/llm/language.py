@@ -242,15 +242,17 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[Column], text_col: s
     cosines the first language by name wins.  Each row is read for itself,
     repeated ones and those without an id too.
     """
-    kept = docs.select(*keep)
-    src = docs.select(quoted(text_col).alias(fresh(kept, "read")[0]), *keep)
+    names = [*docs.select(*keep).columns, lang_name, score_name]
+    # mapInArrow looks its columns up by name, so they have plain ones on their way
+    plain = [f"c{i}" for i in range(len(names))]
+    src = docs.select(quoted(text_col), *keep).toDF("text", *plain[:-2])
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    fields = ["`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in src.schema.fields[1:]]
-    return src.mapInArrow(_predict_udf(shared, [*src.columns[1:], lang_name, score_name]), ", ".join([*fields, f"{lang_name} string", f"{score_name} double"]))
+    kinds = [f.dataType.simpleString() for f in src.schema.fields[1:]] + ["string", "double"]
+    return src.mapInArrow(_predict_udf(shared, plain), ", ".join(map(" ".join, zip(plain, kinds, strict=True)))).toDF(*names)
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """``docs`` without rows of no determined language, or whose cosine is under ``min_score``; all columns stay as they were."""
     lang, score = fresh(docs, "lang_pred", "score")
     found = predict(docs, profiles, list(map(quoted, docs.columns)), text_col, lang, score)
-    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).drop(lang, score)
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*map(quoted, docs.columns))

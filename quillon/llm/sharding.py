@@ -2,7 +2,7 @@
 
 Rows are range-partitioned by id and written as small files.  Within a file
 the prefix sum is a window over the row number; the files' totals, one row per
-file, give each file's offset.  Cutting the global prefix at equal targets
+file, give each file's offset (a file is numbered by the task that wrote it).  Cutting the global prefix at equal targets
 gives shards that are contiguous in id order and near equal in bytes.
 """
 
@@ -32,7 +32,7 @@ def balanced_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     path = f"{shared_dir(spark)}/sizes"
     slim.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
     rows = spark.read.schema(slim.schema).parquet(path)
-    rows = rows.select("__id", "size", "text_crc32", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = rows.select("__id", "size", "text_crc32", F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long").alias("file"), F.col("_metadata.row_index").alias("at"))
 
     # one row per file: a window without partitions over as many rows as files
     totals = rows.groupBy("file").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
