@@ -10,7 +10,7 @@
    Hot buckets are contracted to stars before the shuffle.
 3. Pairs whose odd sketches differ by too many bits go.  What stays makes loose
    components, which hold each true component whole.
-4. Only members of loose components have their texts read again, and every link
+4. Only members of loose components have their texts read again, once, and every link
    is confirmed exactly on full sets.  A component is dealt into parts of bounded
    size; some members of it, the pivots, go to each part and tie the parts together.
    What the parts link makes groups.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir, string_buffers, without_rows, written
+from quillon.llm.common import kept, shared_dir, string_buffers, without_rows, written
 from quillon.llm.components import connected_components
 from quillon.llm.words import SPACED, WordHasher, mix
 
@@ -110,7 +110,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 def _signature_udf(words: int, bands: int, rows: int):
     def run(batches):
-        hasher, sign = WordHasher(SPACED), Signatures(bands, rows)
+        hasher, sign = kept(("signatures", bands, rows), lambda: (WordHasher(SPACED), Signatures(bands, rows)))
         for batch in batches:
             raw, off = string_buffers(batch.column(1))
             lows, sizes, keys, done = [], [], [], 0
@@ -240,39 +240,42 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
     return root.tolist()
 
 
+_LINKS = "a long, b long, parts long, shingles array<long>"
+
+
 def _verify(words: int, percent: int):
-    """Rows sorted by tile -> (a, b, parts): each document's edge to the first of its component within the tile."""
+    """Rows (comp, tile, parts, row, own, text) sorted by tile -> each document's edge to the first of its component within the tile.
+
+    Documents of components in several parts are put out with their shingle sets too
+    (b is null there), from the part that is their own.
+    """
+
+    def out(a, b, parts, sets):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(parts, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["a", "b", "parts", "shingles"])
 
     def run(batches):
-        hasher = WordHasher(SPACED)
+        hasher = kept("spaced", lambda: WordHasher(SPACED))
         tile, rows, sets, parts = None, [], [], 1
         for batch in batches:
-            raw, off = string_buffers(batch.column(4))
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            a, b = [], []
-            t = []
-            for (comp, no, of, row), s in zip(keys, shingle_sets(raw, off, words, hasher), strict=True):
+            raw, off = string_buffers(batch.column(5))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            found: tuple[list, ...] = ([], [], [], [])
+
+            def put(*values, found=found):
+                for column, v in zip(found, values, strict=True):
+                    column.append(v)
+
+            for (comp, no, of, row, own), s in zip(keys, shingle_sets(raw, off, words, hasher), strict=True):
                 if (comp, no) != tile:
                     for r, x in zip(rows, link_groups(sets, percent), strict=True):
-                        a.append(r), b.append(rows[x]), t.append(parts)
+                        put(r, rows[x], parts, None)
                     tile, rows, sets, parts = (comp, no), [], [], of
                 rows.append(row), sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(t, pa.int64())], ["a", "b", "parts"])
+                if of > 1 and own:
+                    put(row, None, of, s.view(np.int64))
+            yield out(*found)
         g = link_groups(sets, percent)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([rows[x] for x in g], pa.int64()), pa.array([parts] * len(rows), pa.int64())], ["a", "b", "parts"])
-
-    return run
-
-
-def _sets_udf(words: int):
-    """(row, comp, label, n, sketch, text) -> the same with the shingle set for the text."""
-
-    def run(batches):
-        hasher = WordHasher(SPACED)
-        for batch in batches:
-            raw, off = string_buffers(batch.column(5))
-            sets = pa.array([s.view(np.int64) for s in shingle_sets(raw, off, words, hasher)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], sets], ["row", "comp", "label", "n", "sketch", "shingles"])
+        yield out(rows, [rows[x] for x in g], [parts] * len(rows), [None] * len(rows))
 
     return run
 
@@ -339,7 +342,7 @@ def links_by_rare_shingles(sets: DataFrame, percent: int, most_bits: int, list_r
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 256, part_shingles: int = 1_000_000, list_rows: int = 2048,
+    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 128, part_shingles: int = 1_000_000, list_rows: int = 2048,
 ) -> DataFrame:
     """One row per document: __id, __xx, n_shingles, component_id, kept.
 
@@ -378,15 +381,6 @@ def near_duplicates(
     member = loose.select(F.col("node").alias("m_row"), F.col("root").alias("comp"))
     member = written(member.unionByName(loose.select(F.col("root").alias("m_row"), F.col("root").alias("comp")).distinct()), f"{path}/members")
     info = member.join(reps.select("__row", "__id", "__xx", "n"), F.col("m_row") == F.col("__row"))
-    text = src.select(F.col("__id").alias("t_id"), F.col("__xx").alias("t_xx"), "__text")
-
-    def links_of(dealt: DataFrame, name: str) -> DataFrame:
-        """Edges within each (comp, tile) of ``dealt`` (__row, __id, __xx, comp, parts, tiles), on full sets."""
-        texts = dealt.join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
-        tiles = texts.select("comp", F.explode("tiles").alias("tile"), "parts", "__row", "__text")
-        tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "__row")
-        return written(tiles.mapInArrow(_verify(words, percent), "a long, b long, parts long").where("a <> b"), f"{path}/{name}")
-
     parts = F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n") / part_shingles), F.lit(1)).cast("long")
     pivots = F.array(*(F.min_by("__row", F.xxhash64("__row", F.lit(k))) for k in range(PIVOTS)))
     # other keys than the aggregate's give each side an exchange of its own: a large component can be split
@@ -394,9 +388,16 @@ def near_duplicates(
     dealt = info.groupBy("comp").agg(parts.alias("parts"), pivots.alias("pivots")).withColumn("c", own).drop("comp")
     info = info.join(dealt, own == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", F.array_contains("pivots", F.col("__row")).alias("pivot"))
     info = written(info, f"{path}/parts")
-    one_part = F.array(F.pmod(F.xxhash64("__row"), F.col("parts")))
+    own_part = F.pmod(F.xxhash64("__row"), F.col("parts"))
+    dealt = info.withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(F.array(own_part)))
+    text = src.select(F.col("__id").alias("t_id"), F.col("__xx").alias("t_xx"), "__text")
     # members grow with the documents and are not to be broadcast
-    links = links_of(info.hint("merge").withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(one_part)), "links")
+    texts = dealt.hint("merge").join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
+    tiles = texts.select("comp", F.explode("tiles").alias("tile"), "parts", "__row", own_part.alias("own_part"), "__text")
+    tiles = tiles.select("comp", "tile", "parts", "__row", (F.col("tile") == F.col("own_part")).alias("mine"), "__text")
+    tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "__row")
+    found = written(tiles.mapInArrow(_verify(words, percent), _LINKS), f"{path}/links")
+    links = found.where("a <> b").select("a", "b", "parts")
     split = connected_components(links.where("parts > 1").select("a", "b"), path)
 
     label = info.where("parts > 1").join(split, F.col("__row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "__row"))
@@ -405,11 +406,11 @@ def near_duplicates(
     sizes = sizes.agg(F.count("*").alias("groups")).where("groups > 1").withColumn("c", own).drop("comp")
     apart = written(label.join(sizes, own == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "label"), f"{path}/apart")
     if not apart.isEmpty():
-        # few rows: Spark's size check decides how their texts are joined
         apart = apart.join(reps.select(F.col("__row").alias("k_row"), "sketch"), F.col("__row") == F.col("k_row"))
-        texts = apart.join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx"))).dropDuplicates(["__row"])
-        sets = texts.select(F.col("__row").alias("row"), "comp", "label", "n", "sketch", "__text").mapInArrow(_sets_udf(words), "row long, comp long, label long, n long, sketch array<long>, shingles array<long>")
-        sets = written(sets, f"{path}/sets")
+        # repeated rows of one id and text were read more than once
+        sets = found.where("b is null").select(F.col("a").alias("s_row"), "shingles").dropDuplicates(["s_row"])
+        sets = apart.hint("merge").join(sets, F.col("__row") == F.col("s_row"))
+        sets = written(sets.select(F.col("__row").alias("row"), "comp", "label", "n", "sketch", "shingles"), f"{path}/sets")
         more = written(links_by_rare_shingles(sets, percent, most_odd_bits(percent / 100, bands * rows), list_rows), f"{path}/more_links")
         split = connected_components(more.unionByName(split.select(F.col("node").alias("a"), F.col("root").alias("b"))), path)
     root = links.where("parts = 1").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct().unionByName(split)
