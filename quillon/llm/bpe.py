@@ -192,14 +192,3 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
-
-
-_BUILT: dict[bytes, WordBpe] = {}
-
-
-def vocabulary(raw: bytes) -> WordBpe:
-    """Built once in each Python worker."""
-    if raw not in _BUILT:
-        _BUILT.clear()
-        _BUILT[raw] = WordBpe(raw)
-    return _BUILT[raw]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +12,9 @@ from pyspark.sql import functions as F
 from quillon.operators.arrow import read_texts, string_buffers
 from quillon.storage import shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "arrow_uri", "filesystem", "fresh", "quoted", "read_texts", "shared_dir", "string_buffers", "utf8_array", "without_rows", "written"]
+__all__ = ["LOWER", "UPPER", "arrow_uri", "filesystem", "fresh", "kept", "quoted", "read_texts", "shared_dir", "string_buffers", "utf8_array", "without_rows", "written"]
 
+T = TypeVar("T")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -31,6 +35,21 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker has made for its operator before; what it made for another one goes first.
+
+    Workers outlive tasks and stages: tables of one stage are not to stay in
+    memory during the next.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def utf8_array(texts: list[bytes | None]) -> pa.Array:
     """Bytes as a string column; what is malformed stays as it is."""
     return pa.array(texts, pa.binary()).view(pa.string())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.automaton import Automaton
-from quillon.llm.common import quoted, shared_dir, string_buffers, without_rows, written
+from quillon.llm.common import kept, quoted, shared_dir, string_buffers, without_rows, written
 from quillon.llm.words import ALNUM, WordHasher, mix
 
 
@@ -175,16 +175,10 @@ def _pair_map(items: DataFrame, window: int, bits: int) -> PairMap:
     return out
 
 
-_BUILT: dict[tuple, Matcher] = {}
-
-
 def _matcher(items, window: int) -> Matcher:
     """Built once in each Python worker; only the newest is held."""
-    key = (hashlib.sha256(repr(items.value).encode()).digest(), window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Matcher(items.value, window)
-    return _BUILT[key]
+    key = ("matcher", hashlib.sha256(repr(items.value).encode()).digest(), window)
+    return kept(key, lambda: Matcher(items.value, window))
 
 
 def _spans(found) -> list[tuple[int, int]]:
@@ -208,7 +202,7 @@ def _runs_udf(shared):
     """(id, xx, text) -> words of the text, and its runs: number of the first word, hashes, byte places."""
 
     def run(batches):
-        pairs, hasher = shared.value, WordHasher(ALNUM)
+        pairs, hasher = shared.value, kept("words", lambda: WordHasher(ALNUM))
         for batch in batches:
             raw, off = string_buffers(batch.column(2))
             count, runs = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.automaton import Automaton
-from quillon.llm.bpe import FINAL, NO_TOKEN, Memo, WordBpe, read_vocabulary, vocabulary
-from quillon.llm.common import read_texts
+from quillon.llm.bpe import FINAL, NO_TOKEN, Memo, WordBpe, read_vocabulary
+from quillon.llm.common import kept, read_texts
 
 #: Words whose ids a worker remembers.
 MAX_WORDS = 500_000
@@ -100,15 +100,9 @@ class Encoder:
         return ids, self.decode(ids)
 
 
-_BUILT: dict[bytes, Encoder] = {}
-
-
 def encoder(raw: bytes) -> Encoder:
     """Built once in each Python worker."""
-    if raw not in _BUILT:
-        _BUILT.clear()
-        _BUILT[raw] = Encoder(vocabulary(raw))
-    return _BUILT[raw]
+    return kept(("encoder", raw), lambda: Encoder(WordBpe(raw)))
 
 
 def _rows(raw, make: Callable[[bytes, str], tuple], types: list[pa.DataType], names: list[str]):

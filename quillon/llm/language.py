@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, quoted, read_texts
+from quillon.llm.common import fresh, kept, quoted, read_texts
 
 DIM = 1024
 UNDETERMINED = "und"
@@ -134,7 +134,7 @@ class Bundler:
 
 def _count_udf(batches):
     """(text, lang) -> (lang, gram, n), added up for some texts at a time."""
-    b = Bundler()
+    b = kept("bundler", Bundler)
     sums: dict[str, np.ndarray] = {}
     odd: dict[str, list[np.ndarray]] = {}
     held = 0
@@ -166,7 +166,7 @@ def _count_udf(batches):
 
 def _bundle_udf(batches):
     """(lang, gram, n) -> (lang, place, value): bundles of this partition's trigrams."""
-    b, sums = Bundler(), {}
+    b, sums = kept("bundler", Bundler), {}
     for batch in batches:
         langs, grams, n = np.array(batch.column(0).to_pylist(), object), np.asarray(batch.column(1)), np.asarray(batch.column(2))
         for lang in set(langs):
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
 
 def _predict_udf(profiles, names: list[str]):
     def run(batches):
-        p, b = profiles.value, Bundler()
+        p, b = profiles.value, kept("bundler", Bundler)
         units = p.units.T.astype(np.float32)
         for batch in batches:
             vecs = np.zeros((batch.num_rows, 0 if not p.langs else len(p.langs)))

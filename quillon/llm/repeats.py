@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir, string_buffers, utf8_array, written
+from quillon.llm.common import kept, shared_dir, string_buffers, utf8_array, written
 from quillon.llm.words import SPACED, WordHasher, mix
 
 _STOPS = np.isin(np.arange(256), list(b".!?"))
@@ -69,7 +69,7 @@ def _unit_udf(sentences: bool):
     """(id, xx, text) -> (id, place, h1, h2) by unit; place: the upper half of xx, then the unit's number in its text."""
 
     def run(batches):
-        units = Units(sentences)
+        units = kept(("units", sentences), lambda: Units(sentences))
         for batch in batches:
             xx = np.asarray(batch.column(1).fill_null(0))
             raw, off = string_buffers(batch.column(2))
@@ -153,7 +153,7 @@ def _cut_udf(sentences: bool, min_words: int, min_chars: int):
         return pa.RecordBatch.from_arrays([part.column(0), utf8_array(kept), *map(pa.array, counts), pa.array(spans, _SPAN), pa.array(n_units)], ["id", "text", "n_removed", "n_words_removed", "n_words_repeated", "removed", "n_units"])
 
     def run(batches):
-        units = Units(sentences)
+        units = kept(("units", sentences), lambda: Units(sentences))
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 yield cut(units, batch.slice(at, 2000))

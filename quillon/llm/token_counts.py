@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import FINAL, NO_TOKEN, WordBpe, read_vocabulary, vocabulary
-from quillon.llm.common import read_texts
+from quillon.llm.bpe import FINAL, NO_TOKEN, WordBpe, read_vocabulary
+from quillon.llm.common import kept, read_texts
 
 #: Symbols of a chunk; chunks that run side by side; characters of texts that are worked on together.
 CHUNK, LANES, BLOCK = 1024, 1 << 14, 1 << 22
@@ -216,9 +216,6 @@ def prefix_scan(maps: list[ChunkMap]) -> list[ChunkMap]:
     return [pairs[i // 2] if i % 2 else compose(pairs[i // 2 - 1], maps[i]) if i else maps[0] for i in range(len(maps))]
 
 
-_BUILT: dict[bytes, Transducer] = {}
-
-
 def _blocks(texts: list[str]):
     """Runs of texts of BLOCK characters, or one longer text."""
     at, size = 0, 0
@@ -233,10 +230,7 @@ def _blocks(texts: list[str]):
 
 def _count_udf(raw):
     def run(batches):
-        if raw.value not in _BUILT:
-            _BUILT.clear()
-            _BUILT[raw.value] = Transducer(vocabulary(raw.value))
-        t = _BUILT[raw.value]
+        t = kept(("transducer", raw.value), lambda: Transducer(WordBpe(raw.value)))
         for batch in batches:
             found = [n for texts in _blocks(read_texts(batch.column(2))) for n in t.counts(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"])
