@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, encoding, exact, language, minhash
 from quillon.storage import scratch, shared_dir, written
