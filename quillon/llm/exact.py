@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.bitmap import all_set, bitmap, bits_for
 from quillon.llm.common import LOWER, UPPER, shared_dir, string_buffers, without_rows, written
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _TESTED = "sha binary, __id long, __xx long, __row long, maybe boolean"
-_SEGMENT = 16  # bits of a position within its segment
 
 
 def _digest_udf(ranges: int):
@@ -49,76 +49,18 @@ def _positions(column: pa.Array, bits: int) -> np.ndarray:
     return words & np.uint64(bits - 1)
 
 
-def _count_udf(bits: int):
-    """Digests -> (segment, positions set at least once, positions set more often) of this partition."""
-
-    def flush(kept):
-        pos, count = np.unique(np.concatenate(kept), return_counts=True)
-        seg = (pos >> np.uint64(_SEGMENT)).astype(np.int64)
-        low = (pos & np.uint64((1 << _SEGMENT) - 1)).astype("<u2")
-        cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        ends = np.r_[cut[1:], len(seg)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(seg[cut]), pa.array([low[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([low[a:b][count[a:b] > 1].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
-            ["segment", "once", "more"],
-        )
-
-    def run(batches):
-        kept, n = [], 0
-        for batch in batches:
-            p = _positions(batch.column(0), bits)
-            kept.append(np.r_[p[:, 0], p[:, 1][p[:, 1] != p[:, 0]]])
-            n += len(p)
-            if n > 1_000_000:
-                yield flush(kept)
-                kept, n = [], 0
-        if n:
-            yield flush(kept)
-
-    return run
-
-
-def _merge_segments(batches):
-    """Rows sorted by segment -> (segment, bitmap of what was set more than once)."""
-    segment, count = None, np.zeros(1 << _SEGMENT, np.uint8)
-
-    def close():
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], ["segment", "bitmap"])
-
-    for batch in batches:
-        for seg, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if seg != segment:
-                if segment is not None:
-                    yield close()
-                segment = seg
-                count[:] = 0
-            at = np.frombuffer(once, "<u2")
-            count[at] = np.minimum(count[at] + 1, 2)
-            count[np.frombuffer(more, "<u2")] = 2
-    if segment is not None:
-        yield close()
-
-
 def _test_udf(bits: int, filter_):
     def run(batches):
-        bitmap = filter_.value
         for batch in batches:
-            p = _positions(batch.column(0), bits)
-            hit = (bitmap[p >> np.uint64(3)] >> (7 - (p & np.uint64(7)).astype(np.uint8))) & 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit.all(axis=1))], ["sha", "__id", "__xx", "__row", "maybe"])
+            maybe = all_set(filter_.value, _positions(batch.column(0), bits))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], ["sha", "__id", "__xx", "__row", "maybe"])
 
     return run
 
 
 def _tested(digests: DataFrame, bits: int, path: str) -> str:
     """Write ``digests`` with ``maybe``, false only where the digest is certain to be unique; the filter goes when that is done."""
-    parts = digests.select("sha").mapInArrow(_count_udf(bits), "segment long, once binary, more binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, "segment long, bitmap binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    width = (1 << _SEGMENT) // 8
-    for r in merged.toLocalIterator():  # bits / 8 bytes at most in all
-        bitmap[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bitmap, np.uint8)
-    filter_ = digests.sparkSession.sparkContext.broadcast(bitmap)
+    filter_ = digests.sparkSession.sparkContext.broadcast(bitmap(digests.select("sha"), _positions, bits, times=2))
     written(digests.select("sha", "__id", "__xx", "__row").mapInArrow(_test_udf(bits, filter_), _TESTED), path)
     filter_.destroy()
     return path
@@ -133,7 +75,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     path = shared_dir(docs.sparkSession)
     rows = max(1, docs.count())
-    bits = 1 << max(_SEGMENT, min((rows * bits_per_row - 1).bit_length(), max_filter_bits.bit_length() - 1))
+    bits = bits_for(rows, bits_per_row, max_filter_bits)
     ranges = -(-rows * bits_per_row // bits) if rows * bits_per_row > bits else 1
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.xxhash64(F.col(f"`{text_col}`")).alias("__xx"), F.monotonically_increasing_id().alias("__row"))
     digests = written(src.mapInArrow(_digest_udf(ranges), "__id long, __xx long, __row long, sha binary, range int"), f"{path}/digests", "range" if ranges > 1 else None)

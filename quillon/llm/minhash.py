@@ -12,12 +12,12 @@
    components, which hold each true component whole.
 4. Only members of loose components have their texts read again, once, and every link
    is confirmed exactly on full sets.  A component is dealt into parts of bounded
-   size; some members of it, the pivots, go to each part and tie the parts together.
-   What the parts link makes groups.
-5. Where a component falls into several groups, links between them are looked for
-   by rare shingles: two sets that are similar enough share one among the rarest
-   fifth of each (and one more).  Of the pairs that do, those whose lengths and odd
-   sketches allow it are confirmed on full sets.
+   size.  Some members, the pivots, go to each part and tie the parts together: the
+   hub, which shares most bands with the component's commonest ones (copies of one
+   text are nearer to it than to each other), and a few others.  What the parts link
+   makes groups.
+5. Where a component falls into several groups, all of them but the largest are
+   compared, block by block, with each other and with the largest.
 
 With 48 bands of 5 rows a pair at similarity 0.8 shares no band with
 probability (1 - 0.8^5)^48 = 5e-9; the sketch filter allows six deviations.
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.bitmap import all_set, bitmap, bits_for
 from quillon.llm.common import kept, shared_dir, string_buffers, without_rows, written
 from quillon.llm.components import connected_components
 from quillon.llm.words import SPACED, WordHasher, mix
@@ -240,6 +241,22 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
     return root.tolist()
 
 
+def _places(column: pa.Array, bits: int) -> np.ndarray:
+    """Two positions in a map for each text's hash."""
+    h = mix(np.asarray(column.fill_null(0)).view(np.uint64))
+    return np.stack([h, h >> np.uint64(32)], axis=1) & np.uint64(bits - 1)
+
+
+def _known_udf(known, bits: int):
+    """(id, xx, text) -> the rows whose hash is in the map."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(all_set(known.value, _places(batch.column(1), bits))))
+
+    return run
+
+
 _LINKS = "a long, b long, parts long, shingles array<long>"
 
 
@@ -280,69 +297,47 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _pairs_of_lists(percent: int, most_bits: int):
-    """Rows (comp, s, tile, row, label, n, sketch) sorted by the first three -> (a, b): pairs of other groups that may be linked.
-
-    A list, or a tile of a long one, is compared as arrays; only what passes is put out.
-    """
+def _verify_sets(percent: int):
+    """Rows (comp, tile, row, shingles) sorted by tile -> each set's edge to the first of its component within the tile."""
 
-    def close(held):
-        row, label, n, sketch = (np.array(x) for x in zip(*held, strict=True))
-        for i in range(len(row) - 1):
-            at = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
-            at = at[np.bitwise_count((sketch[at] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= most_bits]
-            yield from zip(np.minimum(row[at], row[i]).tolist(), np.maximum(row[at], row[i]).tolist(), strict=True)
+    def out(rows, sets):
+        g = link_groups(sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([rows[x] for x in g], pa.int64())], ["a", "b"])
 
     def run(batches):
-        key, held = None, []
+        tile, rows, sets = None, [], []
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            sketches = np.asarray(batch.column(6).flatten()).reshape(batch.num_rows, -1)
-            for k, (comp, shingle, tile, *rest) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)):
-                if (comp, shingle, tile) != key:
-                    if len(held) > 1:
-                        out += close(held)
-                    key, held = (comp, shingle, tile), []
-                held.append((*rest, sketches[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        out = list(close(held)) if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for k, (comp, no, row) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if (comp, no) != tile:
+                    yield out(rows, sets)
+                    tile, rows, sets = (comp, no), [], []
+                rows.append(row)
+                sets.append(np.asarray(batch.column(3)[k].values))
+        yield out(rows, sets)
 
     return run
 
 
-def links_by_rare_shingles(sets: DataFrame, percent: int, most_bits: int, list_rows: int) -> DataFrame:
-    """(a, b): all links between other labels of a component of ``sets`` (row, comp, label, n, sketch, shingles).
+def _blocks(rows, shingles, most_rows: int, most_shingles: int):
+    """How many blocks hold that many rows and shingles; 1 at least."""
+    return F.greatest(F.ceil(rows / most_rows), F.ceil(shingles / most_shingles), F.lit(1)).cast("long")
 
-    Shingles are ranked by how many sets of the component have them.  Sets that
-    are linked share one of the n - ceil(percent * n / 100) + 1 rarest of each: where the
-    larger of them has none of the smaller one's, too few others are left.  Shingles of one
-    set need no list.  Lists of over ``list_rows`` sets are dealt into tiles.
-    """
-    each = sets.select("row", "comp", "label", "n", F.explode("shingles").alias("s"))
-    own = (F.bitwise_not("comp"), F.bitwise_not("s"))  # other keys than the aggregate's: a frequent shingle can be split
-    count = each.groupBy("comp", "s").agg(F.count("*").alias("f")).where("f > 1").select(own[0].alias("c"), own[1].alias("d"), "f")
-    shared = each.join(count, (own[0] == F.col("c")) & (own[1] == F.col("d")))
-    # as many as the set has shingles at most
-    ranked = shared.groupBy("row", "comp", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("ranked"))
-    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - (F.col("n") - F.size("ranked"))
-    listed = ranked.where(prefix > 0).select("row", "comp", "label", "n", F.explode(F.slice("ranked", F.lit(1), prefix.cast("int"))).alias("x"))
-    blocks, blk = F.ceil(F.col("x.f") / list_rows).cast("long"), F.col("blk")
-    listed = listed.select("row", "comp", "label", "n", F.col("x.s").alias("s"), blocks.alias("blocks"), F.pmod(F.xxhash64("row"), blocks).alias("blk"))
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(blk, o) * F.col("blocks") + F.greatest(blk, o))
-    listed = listed.select("comp", "s", F.explode(tiles).alias("tile"), "row", "label", "n").join(sets.select(F.col("row").alias("r"), "sketch"), F.col("row") == F.col("r")).drop("r")
-    listed = listed.repartition("comp", "s", "tile").sortWithinPartitions("comp", "s", "tile")
-    pairs = listed.mapInArrow(_pairs_of_lists(percent, most_bits), "a long, b long").distinct()
-    one, two = (sets.select(F.col("row").alias(f"r{i}"), F.col("n").alias(f"n{i}"), F.col("shingles").alias(f"s{i}")) for i in (1, 2))
-    both = F.size(F.array_intersect("s1", "s2"))
-    full = pairs.join(one, F.col("a") == F.col("r1")).join(two, F.col("b") == F.col("r2"))
-    return full.where(100 * both >= percent * (F.col("n1") + F.col("n2") - both)).select("a", "b")
+
+def hubs(members: DataFrame) -> DataFrame:
+    """(comp, hub): of ``members`` (comp, row, bands) the one that has most of its component's commonest hash of each band."""
+    each = members.select("comp", "row", F.posexplode("bands").alias("band", "h"))
+    votes = each.groupBy("comp", "band", "h").agg(F.count("*").alias("n"))
+    modes = votes.groupBy("comp", "band").agg(F.max_by("h", F.struct("n", "h")).alias("h"))
+    # other keys than the aggregate's give this side an exchange of its own: a large component can be split
+    modes = modes.select(F.bitwise_not("comp").alias("c"), F.bitwise_not("h").alias("m"))
+    have = each.join(modes, (F.bitwise_not("comp") == F.col("c")) & (F.bitwise_not("h") == F.col("m")))
+    return have.groupBy("comp", "row").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("row", F.struct("n", "row")).alias("hub"))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 128, part_shingles: int = 1_000_000, list_rows: int = 2048,
+    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 128, part_shingles: int = 250_000,
+    block_rows: int = 4096, block_shingles: int = 500_000, max_map_bits: int = 1 << 28,
 ) -> DataFrame:
     """One row per document: __id, __xx, n_shingles, component_id, kept.
 
@@ -352,8 +347,9 @@ def near_duplicates(
     kept tells whether that is the row's own id; repeated rows of one id are
     kept together, rows whose component has no id but null are kept.
     ``percent`` is the similarity in hundredths.  A part of a component has about
-    ``part_rows`` members or ``part_shingles`` shingles, a list of a rare shingle is
-    compared in blocks of ``list_rows``; neither changes the result.  Malformed bytes
+    ``part_rows`` members or ``part_shingles`` shingles, a block of what the parts leave
+    apart ``block_rows`` or ``block_shingles``, and the map that texts pass before they
+    are shuffled ``max_map_bits`` at most; none of them changes the result.  Malformed bytes
     belong to words like any others.
     """
     spark = docs.sparkSession
@@ -381,16 +377,22 @@ def near_duplicates(
     member = loose.select(F.col("node").alias("m_row"), F.col("root").alias("comp"))
     member = written(member.unionByName(loose.select(F.col("root").alias("m_row"), F.col("root").alias("comp")).distinct()), f"{path}/members")
     info = member.join(reps.select("__row", "__id", "__xx", "n"), F.col("m_row") == F.col("__row"))
-    parts = F.greatest(F.ceil(F.count("*") / part_rows), F.ceil(F.sum("n") / part_shingles), F.lit(1)).cast("long")
-    pivots = F.array(*(F.min_by("__row", F.xxhash64("__row", F.lit(k))) for k in range(PIVOTS)))
+    parts = _blocks(F.count("*"), F.sum("n"), part_rows, part_shingles)
+    some = F.array(*(F.min_by("__row", F.xxhash64("__row", F.lit(k))) for k in range(PIVOTS - 1)))
     # other keys than the aggregate's give each side an exchange of its own: a large component can be split
     own = F.bitwise_not("comp")
-    dealt = info.groupBy("comp").agg(parts.alias("parts"), pivots.alias("pivots")).withColumn("c", own).drop("comp")
-    info = info.join(dealt, own == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", F.array_contains("pivots", F.col("__row")).alias("pivot"))
-    info = written(info, f"{path}/parts")
+    dealt = info.groupBy("comp").agg(parts.alias("parts"), some.alias("some")).withColumn("c", own).drop("comp")
+    info = written(info.join(dealt, own == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "parts", "some"), f"{path}/parts")
+    large = info.where("parts > 1").select("comp", F.col("__row").alias("row")).join(reps.select(F.col("__row").alias("k_row"), "bands"), F.col("row") == F.col("k_row"))
+    hub = written(hubs(large).select(own.alias("c"), "hub"), f"{path}/hubs")
+    info = info.join(hub, own == F.col("c"), "left").withColumn("pivot", F.array_contains("some", F.col("__row")) | F.col("__row").eqNullSafe(F.col("hub"))).drop("c", "hub", "some")
+    info = written(info, f"{path}/pivots")
     own_part = F.pmod(F.xxhash64("__row"), F.col("parts"))
     dealt = info.withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(F.array(own_part)))
-    text = src.select(F.col("__id").alias("t_id"), F.col("__xx").alias("t_xx"), "__text")
+    # a map of bounded size passes over most texts that are no members'; what it lets through is joined exactly
+    bits = bits_for(info.count(), 16, max_map_bits)
+    known = spark.sparkContext.broadcast(bitmap(info.select("__xx"), _places, bits))
+    text = src.select(F.col("__id").alias("t_id"), F.col("__xx").alias("t_xx"), "__text").mapInArrow(_known_udf(known, bits), "t_id long, t_xx long, __text string")
     # members grow with the documents and are not to be broadcast
     texts = dealt.hint("merge").join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
     tiles = texts.select("comp", F.explode("tiles").alias("tile"), "parts", "__row", own_part.alias("own_part"), "__text")
@@ -403,15 +405,24 @@ def near_duplicates(
     label = info.where("parts > 1").join(split, F.col("__row") == F.col("node"), "left").withColumn("label", F.coalesce("root", "__row"))
     label = written(label.select("__row", "__id", "__xx", "n", "comp", "parts", "label"), f"{path}/labels")
     sizes = label.groupBy("comp", "label").agg(F.count("*").alias("size")).groupBy("comp")
-    sizes = sizes.agg(F.count("*").alias("groups")).where("groups > 1").withColumn("c", own).drop("comp")
-    apart = written(label.join(sizes, own == F.col("c")).select("__row", "__id", "__xx", "n", "comp", "label"), f"{path}/apart")
+    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("groups")).where("groups > 1").withColumn("c", own).drop("comp")
+    apart = label.join(sizes, own == F.col("c")).withColumn("rest", F.col("label") != F.col("largest"))
+    apart = written(apart.select("__row", "n", "comp", "rest"), f"{path}/apart")
     if not apart.isEmpty():
-        apart = apart.join(reps.select(F.col("__row").alias("k_row"), "sketch"), F.col("__row") == F.col("k_row"))
+        rest, most = F.col("rest"), ~F.col("rest")
+        nr, nl = (_blocks(F.count_if(x), F.sum(F.when(x, F.col("n")).otherwise(0)), block_rows, block_shingles) for x in (rest, most))
+        blocks = apart.groupBy("comp").agg(nr.alias("nr"), nl.alias("nl")).withColumn("c", own).drop("comp")
+        apart = apart.join(blocks, own == F.col("c")).withColumn("blk", F.pmod(F.xxhash64("__row"), F.when(rest, F.col("nr")).otherwise(F.col("nl"))))
+        # tile (i, j): block i of the rest with block j of the rest, or with block j - nr of the largest group
+        with_rest = "transform(sequence(0L, nr - 1), o -> least(blk, o) * (nr + nl) + greatest(blk, o))"
+        with_most = "transform(sequence(0L, nl - 1), j -> blk * (nr + nl) + nr + j)"
+        most_in = "transform(sequence(0L, nr - 1), i -> i * (nr + nl) + nr + blk)"
         # repeated rows of one id and text were read more than once
         sets = found.where("b is null").select(F.col("a").alias("s_row"), "shingles").dropDuplicates(["s_row"])
         sets = apart.hint("merge").join(sets, F.col("__row") == F.col("s_row"))
-        sets = written(sets.select(F.col("__row").alias("row"), "comp", "label", "n", "sketch", "shingles"), f"{path}/sets")
-        more = written(links_by_rare_shingles(sets, percent, most_odd_bits(percent / 100, bands * rows), list_rows), f"{path}/more_links")
+        tiles = sets.select("comp", F.explode(F.expr(f"if(rest, concat({with_rest}, {with_most}), {most_in})")).alias("tile"), "__row", "shingles")
+        tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "__row")
+        more = written(tiles.mapInArrow(_verify_sets(percent), "a long, b long").where("a <> b"), f"{path}/more_links")
         split = connected_components(more.unionByName(split.select(F.col("node").alias("a"), F.col("root").alias("b"))), path)
     root = links.where("parts = 1").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct().unionByName(split)
 
