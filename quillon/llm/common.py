@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
@@ -45,7 +46,10 @@ def kept(key: Hashable, make: Callable[[], T]) -> T:
     memory during the next.
     """
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 

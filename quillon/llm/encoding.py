@@ -22,7 +22,7 @@ from quillon.llm.bpe import FINAL, NO_TOKEN, Memo, WordBpe, read_vocabulary
 from quillon.llm.common import kept, read_texts
 
 #: Words whose ids a worker remembers.
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 
 
 class TokenAutomaton:

@@ -43,7 +43,7 @@ class Bundler:
 
     def _clear(self) -> None:
         self.row_of = np.full(ALPHABET**3, -1, np.int32)
-        self.table = np.zeros((TABLE_ROWS, DIM), np.float32)
+        self.table = np.zeros((TABLE_ROWS, DIM), np.int8)
         self.grams: list[int] = []
 
     def _letter(self, code: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _count_udf(batches):
         sums.clear()
         odd.clear()
 
-    for batch in batches:
+    for batch in (x.slice(at, 2000) for x in batches for at in range(0, x.num_rows, 2000)):
         langs = batch.column(1).to_pylist()
         for i, (rows, extra) in b.counted(read_texts(batch.column(0))):
             lang = langs[i]
@@ -208,14 +208,14 @@ def _predict_udf(profiles, names: list[str]):
     def run(batches):
         p, b = profiles.value, kept("bundler", Bundler)
         units = p.units.T.astype(np.float32)
-        for batch in batches:
+        for batch in (x.slice(at, 2000) for x in batches for at in range(0, x.num_rows, 2000)):
             vecs = np.zeros((batch.num_rows, 0 if not p.langs else len(p.langs)))
             norms, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             open_: dict[int, np.ndarray] = {}  # bundles of texts that come in pieces
             for i, (rows, extra) in b.counted(read_texts(batch.column(0))):
                 n = np.bincount(rows)
                 at = np.flatnonzero(n)
-                v = n[at].astype(np.float32) @ b.table[at]
+                v = n[at].astype(np.float32) @ b.table[at].astype(np.float32)
                 if len(extra):
                     v = v + b.bundle(*np.unique(extra, return_counts=True))
                 if total[i]:

@@ -232,8 +232,10 @@ def _count_udf(raw):
     def run(batches):
         t = kept(("transducer", raw.value), lambda: Transducer(WordBpe(raw.value)))
         for batch in batches:
-            found = [n for texts in _blocks(read_texts(batch.column(2))) for n in t.counts(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                found = [n for texts in _blocks(read_texts(part.column(2))) for n in t.counts(texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
 
