@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillon.llm.words import mix
+
 #: Bits of a position within its segment; positions that a task holds before it puts them out.
 SEGMENT, HELD = 16, 1_000_000
 
@@ -21,6 +23,16 @@ def bits_for(rows: int, bits_per_row: int, max_bits: int) -> int:
     return 1 << max(SEGMENT, min((max(1, rows) * bits_per_row - 1).bit_length(), max_bits.bit_length() - 1))
 
 
+def places(column: pa.Array, bits: int) -> np.ndarray:
+    """Two positions for each 64-bit hash; null counts as 0."""
+    return places_of(np.asarray(column.fill_null(0)).view(np.uint64), bits)
+
+
+def places_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(hashes)
+    return np.stack([h, h >> np.uint64(32)], axis=1) & np.uint64(bits - 1)
+
+
 def _count_udf(positions: Callable[[pa.Array, int], np.ndarray], bits: int):
     """Keys -> (segment, positions set at least once, positions set more often) of this partition."""
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.automaton import Automaton
+from quillon.llm.bitmap import all_set, bitmap, bits_for, places, places_of
 from quillon.llm.common import kept, quoted, shared_dir, string_buffers, without_rows, written
 from quillon.llm.words import ALNUM, WordHasher, mix
 
@@ -136,17 +136,11 @@ def _linked_runs(link: np.ndarray, known: np.ndarray, shortest: int) -> list[tup
 class PairMap:
     """Bits for the items' words and neighbouring word pairs, which the runs of all windows are made of."""
 
-    def __init__(self, bits: int, shortest: int):
-        self.bits, self.shortest = np.zeros(bits // 8, np.uint8), shortest
-        self.mask = np.uint64(bits - 1)
-
-    def add(self, words: np.ndarray) -> None:
-        at = np.concatenate([words, pair_hashes(words[:-1], words[1:])]) & self.mask
-        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    def __init__(self, bits: np.ndarray, shortest: int):
+        self.bits, self.shortest = bits, shortest
 
     def _has(self, h: np.ndarray) -> np.ndarray:
-        at = h & self.mask
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return all_set(self.bits, places_of(h, 8 * len(self.bits)))
 
     def runs(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
         """(first word, words) of runs that may hold a window; none goes over a bound."""
@@ -162,17 +156,21 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.select(F.coalesce(quoted(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(quoted(text_col), F.lit("")).alias("t"))
 
 
-def _pair_map(items: DataFrame, window: int, bits: int) -> PairMap:
-    """One pass over the items, row by row: what the driver holds is the map."""
-    out = PairMap(bits, window)
-    hasher = WordHasher(ALNUM)
-    for batch in iter(lambda rows=items.select("t").toLocalIterator(): list(islice(rows, 1000)), []):
-        for _, h, b, _, _ in hasher.documents(*string_buffers(pa.array([r.t for r in batch], pa.string()))):
+def _keys_udf(batches):
+    """Texts -> (hash of a word or a pair of neighbours, words of its text)."""
+    hasher = kept("words", lambda: WordHasher(ALNUM))
+    for batch in batches:
+        for _, h, b, _, _ in hasher.documents(*string_buffers(batch.column(0))):
             for a, z in zip(b[:-1].tolist(), b[1:].tolist(), strict=True):
-                if z > a:
-                    out.shortest = min(out.shortest, z - a)
-                    out.add(h[a:z])
-    return out
+                keys = np.r_[h[a:z], pair_hashes(h[a : z - 1], h[a + 1 : z])] if z > a else h[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), z - a, np.int64))], ["key", "words"])
+
+
+def _pair_map(items: DataFrame, window: int, n_bytes: int, max_bits: int, path: str) -> PairMap:
+    """Made by tasks; the driver holds the map alone.  Words are no more than bytes, so 16 bits a byte are 8 a key or more."""
+    keys = written(items.select("t").mapInArrow(_keys_udf, "key long, words long").distinct(), path)
+    shortest = keys.agg(F.min("words")).first()[0]
+    return PairMap(bitmap(keys.select("key"), places, bits_for(n_bytes, 16, max_bits)), min(window, shortest or window))
 
 
 def _matcher(items, window: int) -> Matcher:
@@ -262,7 +260,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     and no hits; null item ids count as the empty string.  ``items`` has the ids
     whose windows occur.  Repeated rows of one id and text have equal hits.
 
-    The map has 64 bits for each byte of the items, ``max_map_bits`` at most: more
+    The map has 16 bits for each byte of the items, ``max_map_bits`` at most: more
     items set more of them, and more runs go to the automata, of ``max_automaton_bytes``
     of items each.  Neither changes the result.
     """
@@ -270,7 +268,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     path = shared_dir(spark)
     items = _items(benchmark, item_col, item_text_col)
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    pairs = _pair_map(items, window, min(max_map_bits, 1 << max(16, (64 * total).bit_length())))
+    pairs = _pair_map(items, window, total, max_map_bits, f"{path}/keys")
     src = docs.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(quoted(text_col)).alias("xx"), quoted(text_col).alias("text"))
     every = written(src.mapInArrow(_runs_udf(spark.sparkContext.broadcast(pairs)), f"id long, xx long, n_words long, runs {_RUNS}"), f"{path}/runs")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bitmap import all_set, bitmap, bits_for
+from quillon.llm.bitmap import all_set, bitmap, bits_for, places
 from quillon.llm.common import kept, shared_dir, string_buffers, without_rows, written
 from quillon.llm.components import connected_components
 from quillon.llm.words import SPACED, WordHasher, mix
@@ -241,18 +241,12 @@ def link_groups(sets: list[np.ndarray], percent: int) -> list[int]:
     return root.tolist()
 
 
-def _places(column: pa.Array, bits: int) -> np.ndarray:
-    """Two positions in a map for each text's hash."""
-    h = mix(np.asarray(column.fill_null(0)).view(np.uint64))
-    return np.stack([h, h >> np.uint64(32)], axis=1) & np.uint64(bits - 1)
-
-
 def _known_udf(known, bits: int):
     """(id, xx, text) -> the rows whose hash is in the map."""
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(all_set(known.value, _places(batch.column(1), bits))))
+            yield batch.filter(pa.array(all_set(known.value, places(batch.column(1), bits))))
 
     return run
 
@@ -391,7 +385,7 @@ def near_duplicates(
     dealt = info.withColumn("tiles", F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(F.array(own_part)))
     # a map of bounded size passes over most texts that are no members'; what it lets through is joined exactly
     bits = bits_for(info.count(), 16, max_map_bits)
-    known = spark.sparkContext.broadcast(bitmap(info.select("__xx"), _places, bits))
+    known = spark.sparkContext.broadcast(bitmap(info.select("__xx"), places, bits))
     text = src.select(F.col("__id").alias("t_id"), F.col("__xx").alias("t_xx"), "__text").mapInArrow(_known_udf(known, bits), "t_id long, t_xx long, __text string")
     # members grow with the documents and are not to be broadcast
     texts = dealt.hint("merge").join(text, F.col("__id").eqNullSafe(F.col("t_id")) & (F.col("__xx") == F.col("t_xx")))
