@@ -350,8 +350,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     with different main texts, and on ``min_share`` of all such pages, or
     the root of their number on hosts with more than the two agree on.  A
     paragraph, list item or table of the article must be on ``own_share`` of
-    them, or four times the root of their number on hosts with more, beside
-    different text.
+    them, beside different text, on hosts of any size: a line that some articles
+    share is theirs.
 
     A host with ``enough_pages`` of them shows its slots: all that stands in a
     slot goes if ``slot_share`` of it, by pages, is on two pages or more.  Other
@@ -380,7 +380,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     seen = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.h", "n.slot", "n.sign", "n.own").distinct()
     counts = seen.groupBy("host", "h", "slot", "own").agg(F.count("*").alias("n"))
     counts = written(counts.join(texts, F.bitwise_not("host") == F.col("t")).drop("t"), f"{path}/counts")
-    enough = F.when(F.col("own"), F.least(own_share * F.col("texts"), 4 * F.sqrt("texts"))).otherwise(F.least(min_share * F.col("texts"), F.sqrt("texts")))
+    enough = F.when(F.col("own"), own_share * F.col("texts")).otherwise(F.least(min_share * F.col("texts"), F.sqrt("texts")))
     subtrees = counts.groupBy("host", "h", "own", "texts").agg(F.sum("n").alias("n")).where((F.col("n") >= min_pages) & (F.col("n") >= enough)).select("host", "h")
     slots = counts.where((F.col("slot") != 0) & (F.col("texts") >= enough_pages)).groupBy("host", "slot")
     slots = slots.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again")).where(F.col("again") >= slot_share * F.col("n")).select("host", "slot")
