@@ -330,7 +330,7 @@ def hubs(members: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 128, part_shingles: int = 250_000,
+    bands: int = 48, rows: int = 5, small_bucket: int = 8, part_rows: int = 64, part_shingles: int = 250_000,
     block_rows: int = 512, block_shingles: int = 500_000, max_map_bits: int = 1 << 28,
 ) -> DataFrame:
     """One row per document: __id, __xx, n_shingles, component_id, kept.
